@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import bpe, licenses, mixing, sharding
+from epochal.llm import bpe, licenses, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
 }
 
