@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import bpe, licenses, mixing, secrets, sharding, simhash
+from epochal.llm import ann, bpe, langid, licenses, mixing, secrets, sharding, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_curves": ann.op2_curves,
+    "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
+    "op10_pivots": topk.op10_pivots,
 }
 
 
