@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import ann, bpe, langid, licenses, mixing, secrets, sharding, simhash, topk
+from epochal.llm import ann, bpe, langid, licenses, mixing, repeats, secrets, sharding, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_curves": ann.op2_curves,
+    "op3_repeats": repeats.op3_repeats,
     "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
