@@ -27,12 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from epochal.llm.common import table
 
 LANGUAGES, PER_LANGUAGE, LONGEST = 64, 500, 20_000
 FEATURES, LANE, STRETCH, EPOCHS, RATE, DECAY = 1 << 17, 32, 24, 3, 0.2, 1e-6
 REMEMBERED, PIECE = 200_000, 1 << 20
+#: The share below which a text is in no language.
+LEAST_SCORE = 0.35
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -214,13 +217,13 @@ def trained_on(docs: DataFrame) -> Field:
     return Field.trained([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-_words: dict[int, Words] = {}
+_words: dict[int, Words] = {}  # in a worker: of the field that it last had
 
 
-def predicted(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast((field.languages, field.weights, field.moves))  # FEATURES x languages: fixed
-    number = id(shared) ^ zlib.crc32(field.weights.tobytes())
+def labelled(rows: DataFrame, field: Field) -> DataFrame:
+    """rows and two more columns, __lang and __score. rows: any columns, the last of which is the text."""
+    shared = rows.sparkSession.sparkContext.broadcast((field.languages, field.weights, field.moves))  # FEATURES x languages: fixed
+    number = zlib.crc32(field.weights.tobytes()) << 32 | zlib.crc32(field.moves.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, moves = shared.value
@@ -231,7 +234,7 @@ def predicted(docs: DataFrame, field: Field) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                words = [seen.of(x.as_py() or "") for x in part.column(2)] if languages else [np.empty(0, np.int32)] * part.num_rows
+                words = [seen.of(x.as_py() or "") for x in part.columns[-1]] if languages else [np.empty(0, np.int32)] * part.num_rows
                 lengths = np.array([len(w) for w in words])
                 best, score = np.full(len(words), -1), np.zeros(len(words))
                 if lengths.sum():
@@ -241,11 +244,23 @@ def predicted(docs: DataFrame, field: Field) -> DataFrame:
                     best[some], score[some] = share.argmax(axis=1), np.minimum(share.max(axis=1), 1.0)
                 seen.forget()
                 names = [languages[i] if i >= 0 else "und" for i in best]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "__lang", "__score"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())]))
+
+
+def predicted(docs: DataFrame, field: Field) -> DataFrame:
+    """doc_id, held_out, lang_pred, score: one row per input row."""
+    found = labelled(docs.select("doc_id", "text"), field)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """docs without those that have no letter, or in which no language has so large a share. The columns stay; where lang was null
+    it is the predicted one."""
+    found = labelled(docs.select(*(c for c in docs.columns if c != "text"), "text"), trained_on(docs))
+    found = found.filter((F.col("__lang") != "und") & (F.col("__score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 
 
 def identified(docs: DataFrame) -> DataFrame:
