@@ -70,7 +70,7 @@ def mix_plan(sources: DataFrame, seed: int = 0) -> DataFrame:
     """shard, place, key, block: every slot of the mix. A source's slots are dealt out in runs, so a source with a third of all
     slots is made by many tasks."""
     runs = sources.filter("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div 4096"))).alias("run"))
-    runs = runs.repartition("key", "run")
+    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "run")
     slots = runs.select("*", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("slots") - 1, F.col("run") * 4096 + 4095))).alias("r"))
     place = permuted(F.col("first") + F.col("r"), F.col("all_slots"), F.lit(seed))
     block = permuted(F.col("r") % F.col("blocks"), F.col("blocks"), F.lit(seed + 1), F.col("key"), F.expr("r div blocks"))
@@ -102,7 +102,8 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     last = F.expr(f"(`from` + size - 1) div {BLOCK_WORDS}")
     pieces = rows.filter("size > 0").select("key", "from", "size", "doc_id", F.explode(F.sequence(F.expr(f"`from` div {BLOCK_WORDS}"), last)).alias("block"))
     begin, end = F.greatest("from", F.col("block") * BLOCK_WORDS), F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
-    pieces = pieces.withColumn("words", end - begin).join(plan, ["key", "block"], "left")
+    # the plan comes of a small table, and the planner would take it for small
+    pieces = pieces.withColumn("words", end - begin).join(plan.hint("merge"), ["key", "block"], "left")
     taken = pieces.groupBy("key", "from", "size", "doc_id").agg(F.sum(F.coalesce(F.col("times"), F.lit(0)) * F.col("words")).alias("taken"), F.min("shard").alias("first_shard"))
     empty = rows.filter("size = 0").select("key", "from", "size", "doc_id", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("int").alias("first_shard"))
     return taken.unionByName(empty).join(sources.select("key", "source_size", "target"), "key").select("doc_id", "size", "source_size", "target", "taken", "first_shard")
