@@ -109,5 +109,16 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     return taken.unionByName(empty).join(sources.select("key", "source_size", "target"), "key").select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
+def resampled(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """docs as the mix has them: each document as often as the mix takes its words, rounded up or down by a hash of its id so that
+    the words add up. The columns stay."""
+    taken = mixed(docs, seed).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
+    times = F.col("__taken") / F.nullif(F.col("__size"), F.lit(0))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    taken = taken.select(F.col("doc_id").alias("__id"), (F.floor(times) + F.when(chance < times - F.floor(times), 1).otherwise(0)).alias("__times"))
+    kept = docs.join(taken.filter("__times > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
