@@ -1,10 +1,6 @@
 """All queries of the engine, by name, with the SQL that must give the same rows."""
 
-from __future__ import annotations
+from epochal.plans import evaluation, preparation, sequences, streams, structure  # noqa: F401  they register their queries
+from epochal.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
