@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: reading a table, and cutting lineage through the shared folder."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochal.sources.shared import materialize, new_path, shared_dir
+
+__all__ = ["WORD", "exploded_copies", "materialize", "new_path", "shared_dir", "table", "utf8_size"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master gets a folder of its own."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="epochal-")
-        spark.sparkContext.setCheckpointDir(shared_dir.own)
-    return shared_dir.own
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read back. Unlike a cache it survives the loss of any executor, and
-    unlike RDD checkpoints it is columnar and compressed, so later reads prune columns."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def exploded_copies(df: DataFrame, n: str, out: str, step: int = 8192) -> DataFrame:
     """One row for each of 0 .. n-1 in column out. In two levels, so no array is longer than n / step or step."""
     chunk = f"__{out}_chunk"

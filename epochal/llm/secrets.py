@@ -137,7 +137,7 @@ def secret_spans(docs: DataFrame, owner: str, repository: str) -> DataFrame:
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """docs with every live value in its own text replaced by the mark; columns and rows stay, n_chars follows if there is one."""
-    live = live_spans(scanned(docs, owner, repository)).groupBy("doc_id").agg(F.collect_set("value").alias("live"))
+    live = live_spans(scanned(docs, owner, repository)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value").alias("__live"))
 
     def row(*values) -> tuple:
         live, text = values[-2:]
@@ -150,9 +150,9 @@ def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
                 at = b
         return ("".join([*out, text[at:]]),)
 
-    marked = docs.join(live, docs.doc_id.eqNullSafe(live.doc_id), "left").drop(live.doc_id)
+    marked = docs.join(live.hint("merge"), docs.doc_id.eqNullSafe(F.col("__id")), "left")
     rest = [c for c in docs.columns if c != "text"]
-    out = mapped(marked.select(*rest, "live", "text"), "text string", row).drop("live")
+    out = mapped(marked.select(*rest, "__live", "text"), "text string", row).drop("__live")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(docs.columns)

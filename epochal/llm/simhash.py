@@ -52,15 +52,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed)."""
+    """doc_id, digest (of the text), fp (signed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "digest", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint")
 
 
 def nearest_codeword(words: np.ndarray) -> np.ndarray:
@@ -240,21 +240,29 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id of the component): one row per input row."""
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, fp, root (the component's least fingerprint), component_id: one row per input row."""
     rows = materialize(fingerprints(docs), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(found_links(nodes))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id of the component): one row per input row."""
+    return joined(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, of each component only its document with the smallest id. The columns stay."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """docs, of each component only one row: that with the smallest id (rows without an id only where there is no other), then with
+    the smallest digest of its text. The columns stay."""
+    first = joined(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    first = first.select(name(F.col("m.doc_id")).alias("__id"), F.col("m.digest").alias("__digest")).hint("merge")
+    named = docs.withColumn("__id", name(F.col("doc_id"))).withColumn("__digest", F.xxhash64("text"))
+    return named.join(first, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,58 @@
+import hashlib
+import re
+
+from epochal.llm import secrets
+
+FULL = {
+    "assign": re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def base(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(FULL.items()):
+        for m in pattern.finditer(text):
+            if (len(m[2]) >= 6) if kind == "assign" else m.end() - m.start() >= (20 if kind == "access" else 24):
+                out.append((m.start(), rank, m.end()))
+    return sorted(out)
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in secrets.secret_spans(docs, "source", "doc_id").collect():
+        spans = base(texts[r.doc_id])
+        names = ",".join(f"{list(FULL)[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
+        assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest()
+        assert ",".join(s for s in r.spans.split(",") if not s.startswith("live")) == names
+
+
+def test_tricky():
+    cases = ["passWORD='abc' secret=token=abcdef", "api_key:=x apiKey: \"a.b-c/d+e=\"", "AKIAAKIA" + "A" * 11 + " AKIA" + "Z" * 16, "f" * 23 + " " + "0a" * 12 + "g" + "b" * 30, "paßword=ſecret ſecret=abcdefg ToKen=abcdef", "é" * 5 + "token=abcdefé"]
+    for text in cases:
+        assert [s[:3] for s in secrets.spans_of(text)] == base(text)
+
+
+def test_ownership(spark):
+    live, copied, weak = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "0123af5679abc8de0f13579bdf2468ac", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"
+    rows = [(1, f"token={live}", "x"), (2, f"again {live}", "x"), (3, f"token={weak}", "x"), *((10 + i, f"token={copied} é", f"o{i}") for i in range(4))]
+    docs = spark.createDataFrame([(*r, 0, "l") for r in rows], "doc_id long, text string, source string, n_chars long, live string")
+    got = {r.doc_id: r for r in secrets.secret_spans(docs, "source", "doc_id").collect()}
+    assert got[1].spans == "assign:0:38,hex:6:38,live:6:38" and got[2].n_live == 1
+    assert all(got[i].n_live == 0 for i in (3, 10, 11, 12, 13))
+    out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert (out[1].text, out[2].text, out[3].text) == ("token=[secret]", "again [secret]", f"token={weak}")
+    assert out[1].n_chars == 14 and out[10].text == f"token={copied} é" and out[1].live == "l"
+
+
+def test_odd(odd, none):
+    got = secrets.secret_spans(odd, "source", "doc_id").collect()
+    assert len(got) == odd.count()
+    by = {r.doc_id: r for r in got}
+    assert by[3].spans == "" and by[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (by[9].n_assign, by[9].n_access, by[9].n_hex) == (2, 1, 1)
+    assert secrets.redacted(odd).columns == odd.columns and secrets.redacted(odd).count() == odd.count()
+    assert secrets.secret_spans(none, "source", "doc_id").count() == 0
