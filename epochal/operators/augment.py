@@ -81,6 +81,27 @@ def noisy(df: DataFrame, key: str, column: str, sigma: float, seed: int) -> Data
     return df.mapInPandas(run, df.schema)
 
 
+def noisy_region(df: DataFrame, key: str, column: str, sigma: float, low: float, high: float, seed: int) -> DataFrame:
+    """Gaussian noise on a circular region whose share of the element is log-uniform between low and high."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, x in zip(frame[key], frame[column]):
+                if x is None:
+                    out.append(None)
+                    continue
+                draw, x = np.random.default_rng([seed, int(k) & 0xFFFFFFFF]), np.array(x)
+                length = int(len(x) * 10 ** draw.uniform(np.log10(low), np.log10(high)))
+                places = (draw.integers(max(len(x), 1)) + np.arange(length)) % max(len(x), 1)
+                x[places] += draw.normal(0, sigma, length)
+                out.append(x)
+            frame[column] = out
+            yield frame
+
+    return df.mapInPandas(run, df.schema)
+
+
 def elastic(df: DataFrame, key: str, column: str, alpha: float, sigma: float, seed: int) -> DataFrame:
     """Smoothed random displacement of places with linear interpolation."""
     radius = max(1, int(3 * sigma))

@@ -6,6 +6,9 @@ key at most once, and rows stay rows.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +118,43 @@ def filtered(samples: DataFrame, taps: list[float], *key: str) -> DataFrame:
     return samples.withColumn("x", total)
 
 
+def band_pass_taps(rate: float, low: float, high: float, taps: int) -> list[float]:
+    """A windowed-sinc filter that keeps low to high Hz: the difference of two low-passes under a Hann window."""
+    if not 0 <= low < high <= rate / 2 or taps % 2 == 0:
+        raise ValueError("0 <= low < high <= rate / 2 and an odd number of taps are needed")
+    middle = taps // 2
+
+    def low_pass(cut: float, n: int) -> float:
+        x = 2 * cut / rate
+        return x if n == 0 else math.sin(math.pi * x * n) / (math.pi * n)
+
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * (i + 1) / (taps + 1)) for i in range(taps)]
+    return [(low_pass(high, i - middle) - low_pass(low, i - middle)) * hann[i] for i in range(taps)]
+
+
+def biquad(samples: DataFrame, b: tuple[float, float, float], a: tuple[float, float], *key: str) -> DataFrame:
+    """A second-order recursive filter, which no window can express: y depends on earlier y. One record at a time is a group."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        y1 = y2 = x1 = x2 = 0.0
+        out = []
+        for x in frame["x"].tolist():
+            y = b[0] * x + b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
+            x1, x2, y1, y2 = x, x1, y, y1
+            out.append(y)
+        return frame.assign(x=out)
+
+    return samples.groupBy(*key).applyInPandas(run, samples.schema)
+
+
+def notch(samples: DataFrame, rate: float, freq: float, quality: float, *key: str) -> DataFrame:
+    """Takes out one frequency."""
+    w = 2 * math.pi * freq / rate
+    alpha, c = math.sin(w) / (2 * quality), math.cos(w)
+    return biquad(samples, (1 / (1 + alpha), -2 * c / (1 + alpha), 1 / (1 + alpha)), (-2 * c / (1 + alpha), (1 - alpha) / (1 + alpha)), *key)
+
+
 def sanity(samples: DataFrame, most: float = 5.0) -> DataFrame:
     """mean, std, and whether either is beyond `most`."""
     return samples.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).withColumn("suspect", (F.abs("mean") > most) | (F.col("std") > most))

@@ -201,3 +201,30 @@ def augment_channel_dropout(spark, sf_dir):
 @query(f"WITH {t.PERIODS} SELECT study_id, period_idx, CAST(sum(stage) OVER (PARTITION BY study_id ORDER BY period_idx) AS BIGINT) AS total FROM periods")
 def running_stage(spark, sf_dir):
     return t.periods(spark, sf_dir).select("study_id", "period_idx", F.sum("stage").over(Window.partitionBy("study_id").orderBy("period_idx")).alias("total"))
+
+
+@query()
+def augment_regional_noise(spark, sf_dir):
+    done = augment.noisy_region(elements(spark, sf_dir), "vec_id", "x", 0.1, 0.1, 0.5, 1)
+    return done.select("vec_id", F.round(F.array_max("x"), 6).alias("most"))
+
+
+@query()
+def segmenter(spark, sf_dir):
+    """Confusion counts of a segmenter fit on two thirds of the studies, on the others."""
+    from epochal.operators import metrics, segment
+
+    rows = segment.features(t.periods(spark, sf_dir))
+    model = segment.fit(rows.filter("study_id % 3 <> 0"))
+    return metrics.confusion(segment.staged(model, rows.filter("study_id % 3 = 0")), 5)
+
+
+@query()
+def network_scores(spark, sf_dir):
+    """Class scores per period of a convolutional network over four-channel records."""
+    from epochal.operators import segment
+
+    names = [f"ch{k}" for k in range(4)]
+    e = t.table(spark, sf_dir, "embeddings").select("vec_id", *(F.slice(F.col("embedding").cast("array<double>"), k * 16 + 1, 16).alias(c) for k, c in enumerate(names)))
+    done = segment.scored(e, "vec_id", names, segment.random_net(4, 5), 4)
+    return done.select("vec_id", "period_idx", F.round(F.array_max("scores"), 6).alias("best"))
