@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.op9_sql()}
+    return {"op9_licenses": licenses.op9_sql(), "op10_pivots": topk.op10_sql()}

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from epochal.llm import ann, topk
+from epochal.llm import ann, queries, topk
+from tests import oracle
 
 DATA = "/root/testdata/sf0.1/embeddings.parquet"
 KIND = "vec_id long, embedding array<float>, label int, rid long, v string, pivot int"
@@ -78,3 +79,8 @@ def test_many_equal(spark):
 def test_empty(odd):
     assert ann.nearest(odd.limit(0), 3, 20).count() == 0
     assert topk.top_k(odd.filter("vec_id = 3"), 3, 20).count() == 0
+
+
+def test_exact_equals_sql(spark):
+    con = oracle.connect()
+    oracle.check(spark, con, queries.QUERIES["op10_pivots"], queries.oracle_sql()["op10_pivots"])
