@@ -1,9 +1,11 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""What driver and executors share: a folder, tables written there to cut lineage, and this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if name.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/") + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that functions of its modules can be loaded there."""
+    context = spark.sparkContext
+    if getattr(ship, "to", None) == context.applicationId:
+        return
+    package = Path(__file__).resolve().parent.parent
+    out = Path(tempfile.mkdtemp(prefix="epochal-")) / "epochal.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(out))
+    ship.to = context.applicationId
