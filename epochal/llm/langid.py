@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each word of a text gets a language. Its features are the word itself (the lexicon), its affixes and its letter n-grams, hashed
+Each word of a text gets a language. Its features are the word itself (the lexicon), its affixes and its n-grams, hashed
 into FEATURES weights per language; transitions between the languages of neighbouring words are learned with them, by the
 gradient of the log-likelihood. Prediction runs forward-backward over all words of a text and sums the words' marginals, so a
 text that switches languages gets the one of most of its words, and the score is that language's share.
@@ -33,7 +33,7 @@ from epochal.llm.common import table
 
 LANGUAGES, PER_LANGUAGE, LONGEST = 64, 500, 20_000
 FEATURES, LANE, STRETCH, EPOCHS, RATE, DECAY = 1 << 17, 32, 24, 3, 0.2, 1e-6
-REMEMBERED, PIECE = 200_000, 1 << 20
+REMEMBERED, PIECE = 400_000, 1 << 20
 #: The share below which a text is in no language.
 LEAST_SCORE = 0.35
 WORD = regex.compile(r"\p{L}+")
@@ -43,12 +43,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features(word: str) -> list[int]:
-    """Hashed: the word, prefixes and suffixes to three letters, and n-grams of two and three letters with its ends marked."""
-    marked = f"^{word[:24]}$"
-    found = ["w" + word, *("p" + word[:n] for n in (1, 2, 3)), *("s" + word[-n:] for n in (1, 2, 3))]
-    found += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode()) & (FEATURES - 1) for x in found]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the words, one word after another, and how many each has. Hashed are the word itself and, of its bytes with
+    its ends marked, all runs of two and three and the runs of four and five at either end."""
+    marked = [f"^{w[:24]}$".encode() for w in words]
+    size = np.array([len(m) for m in marked])
+    ends = np.cumsum(size)
+    begin, data = ends - size, np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    owner, place = np.repeat(np.arange(len(words)), size), np.arange(len(data))
+    left = ends[owner] - place
+    owners, codes = [np.arange(len(words))], [np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint32)]
+    for n in (2, 3, 4, 5):
+        fits = left >= n
+        if n > 3:
+            fits &= (place == begin[owner]) | (left == n)
+        at = np.flatnonzero(fits)
+        code = np.full(len(at), n, np.uint32)
+        for k in range(n):
+            code = (code ^ data[at + k]) * np.uint32(0x01000193)
+        owners.append(owner[at])
+        codes.append(code)
+    code, owner = np.concatenate(codes), np.concatenate(owners)
+    code = (code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    code = (code ^ code >> np.uint32(12)) & np.uint32(FEATURES - 1)
+    return code[np.argsort(owner, kind="stable")].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
 class Words:
@@ -56,7 +74,7 @@ class Words:
 
     def __init__(self, weights: np.ndarray):
         self.weights, self.numbers, self.new = weights, {}, []
-        self.scores = np.empty((0, weights.shape[1]))
+        self.scores = np.empty((0, weights.shape[1]), weights.dtype)
 
     def number(self, word: str) -> int:
         self.new.append(word)
@@ -76,13 +94,10 @@ class Words:
         return np.concatenate(out) if out else np.empty(0, np.int32)
 
     def emissions(self) -> np.ndarray:
-        if self.new:
-            found = [features(w) for w in self.new]
-            begin = np.cumsum([0, *map(len, found[:-1])])
-            flat = np.fromiter((x for f in found for x in f), np.int64)
-            made = [np.add.reduceat(self.weights[flat[begin[a] : begin[b - 1] + len(found[b - 1])]], begin[a:b] - begin[a]) for a, b in ((a, min(a + 20_000, len(found))) for a in range(0, len(found), 20_000))]
-            self.scores = np.concatenate([self.scores, *made])
-            self.new = []
+        for at in range(0, len(self.new), 16384):
+            flat, count = features(self.new[at : at + 16384])
+            self.scores = np.concatenate([self.scores, np.add.reduceat(self.weights[flat], np.cumsum(count) - count)])
+        self.new = []
         return self.scores
 
     def forget(self) -> None:
@@ -163,9 +178,8 @@ class Field:
                 kinds.append(languages.index(label))
         if not stretches:
             return Field(languages, weights, moves)
-        found = [features(w) for w in seen.new]
-        begin = np.cumsum([0, *map(len, found)])
-        flat = np.fromiter((x for f in found for x in f), np.int64)
+        flat, count = features(seen.new)
+        begin = np.append(0, np.cumsum(count))
         grown, moved = np.full(weights.shape, 1e-2), np.full(moves.shape, 1e-2)
         for _ in range(EPOCHS):
             order = draw.permutation(len(stretches))
