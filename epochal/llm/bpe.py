@@ -6,8 +6,8 @@ that a-arc gets an ab-arc to where the b-arc led. All arcs with one label lead t
 the arcs of a state are those it had from its right part when it was made, less those that later gadgets took. `Automaton.arc`
 replays just the gadgets that bear on one arc, newest first, and the answers fill the transition table; the full table has
 2.5e9 arcs, of which a corpus uses a few hundred thousand. A token sequence is BPE's own exactly if the automaton accepts it, and
-for every word there is one accepted path whose labels spell it: encoding finds it over the trie of labels, decoding emits the
-labels of the arcs.
+for every word there is one accepted path whose labels spell it: encoding finds it, longest label first, and
+decoding emits the labels of its arcs.
 
 Defined cases: null and empty texts have no tokens (the digests are those of the empty string); the special token's string in a
 text becomes the special id, as the tokenizers library has it; texts of any length go through in pieces cut where a token ends
@@ -62,19 +62,11 @@ class Automaton:
                 self.born[i] = -1
         self.arcs: dict[int, bool] = {}
         self.whole = {self.label[i]: i for i in self.born if self.reachable(i)}
-        self.trie: dict[int, int] = {}  # (node << 8 | byte) -> node
-        self.ends = [-1]  # by node: the token that is spelled there
-        for text, i in self.whole.items():
-            node = 0
-            for byte in text:
-                node = self.trie.setdefault(node << 8 | byte, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = i
-        self.size = {i: len(self.label[i]) for i in self.born}
+        self.longest = max(map(len, self.whole))
         self.split = regex.compile(PRE_SPLIT).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.names = {i: str(i) for i in self.label}
 
     def reachable(self, token: int) -> bool:
@@ -104,50 +96,49 @@ class Automaton:
         key = u << 32 | v
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 4 * REMEMBERED:
+            if len(self.arcs) > 8 * REMEMBERED:
                 self.arcs.clear()
             known = self.arcs[key] = self.arc(u, v)
         return known
 
-    def steps(self, word: bytes, at: int) -> list[int]:
-        """The tokens that the word spells from there on, shortest first."""
-        trie, ends, node, found = self.trie, self.ends, 0, []
-        for k in range(at, len(word)):
-            node = trie.get(node << 8 | word[k])
-            if node is None:
-                break
-            if ends[node] >= 0:
-                found.append(ends[node])
-        return found
-
     def path(self, word: bytes) -> tuple[int, ...]:
-        """The labels of the accepted path that spells the word. A place that was left once is on no accepted path, as the path to
-        it is unique, so the walk is linear."""
-        if (one := self.whole.get(word)) is not None:
+        """The labels of the accepted path that spells the word: at each place the longest label first whose arc there is. A place
+        that was left once is on no accepted path, as the path to it is unique, so places are never tried twice."""
+        whole, arcs, follows, longest = self.whole, self.arcs, self.follows, self.longest
+        if (one := whole.get(word)) is not None:
             return (one,)
-        taken, choices, at, dead = [], [self.steps(word, 0)], 0, set()
-        while at < len(word):
-            while choices[-1]:
-                token = choices[-1].pop()
-                if at + self.size[token] not in dead and (not taken or self.follows(taken[-1], token)):
-                    taken.append(token)
-                    at += self.size[token]
-                    choices.append(self.steps(word, at))
-                    break
+        n, at, size, last, taken, dead = len(word), 0, min(len(word), longest), -1, [], ()
+        while at < n:
+            while size:
+                token = whole.get(word[at : at + size])
+                if token is not None:
+                    there = True if last < 0 else arcs.get(last << 32 | token)
+                    if there is None:
+                        there = follows(last, token)
+                    if there and at + size not in dead:
+                        break
+                size -= 1
+            if size:
+                taken.append(token)
+                at, last = at + size, token
+                size = min(n - at, longest)
             else:
-                dead.add(at)
-                choices.pop()
-                at -= self.size[taken.pop()]
+                dead = {*dead, at}
+                size = len(self.label[taken.pop()])
+                at, last = at - size, taken[-1] if taken else -1
+                size -= 1
         return tuple(taken)
 
     def known(self, word: str) -> tuple[int, ...]:
-        found = self.paths.get(word)
+        """A worker remembers words in two generations, so that common ones outlive the rest."""
+        found = self.older.get(word)
         if found is None:
             found = self.path(word.encode())
-            if len(word) < 64:
-                if len(self.paths) >= REMEMBERED:
-                    self.paths.clear()
-                self.paths[word] = found
+        if len(word) < 64:
+            if len(self.paths) >= REMEMBERED:
+                self.older = self.paths
+                self.paths = {}
+            self.paths[word] = found
         return found
 
     def pieces(self, text: str) -> Iterator[str]:
@@ -165,13 +156,14 @@ class Automaton:
 
     def encoded(self, text: str) -> Iterator[list[int]]:
         """The ids, in runs."""
-        get, known = self.paths.get, self.known
+        known = self.known
         parts = [(text, None)]
         if self.specials and (marks := list(self.specials.finditer(text))):
             starts = [0, *(m.end() for m in marks)]
             parts = [(text[a:m.start()], self.special[m[0]]) for a, m in zip(starts, marks)] + [(text[starts[-1] :], None)]
         for part, mark in parts:
             for piece in self.pieces(part):
+                get = self.paths.get  # of the generation before, if one ends meanwhile: still right
                 yield list(chain.from_iterable([get(w) or known(w) for w in self.split(piece)]))
             if mark is not None:
                 yield [mark]
