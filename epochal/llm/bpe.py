@@ -40,6 +40,25 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Paths(dict):
+    """The paths of words, found when first asked for. Holds two generations of words, so that common ones outlive the rest; long
+    words aren't kept."""
+
+    def __init__(self, find: Callable[[bytes], tuple[int, ...]]):
+        self.find, self.older = find, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.find(word.encode())
+        if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Automaton:
     def __init__(self, spec: str):
         """spec: the JSON of a byte-level BPE of the tokenizers library."""
@@ -65,8 +84,7 @@ class Automaton:
         self.longest = max(map(len, self.whole))
         self.split = regex.compile(PRE_SPLIT).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.paths = Paths(self.path)
         self.names = {i: str(i) for i in self.label}
 
     def reachable(self, token: int) -> bool:
@@ -129,18 +147,6 @@ class Automaton:
                 size -= 1
         return tuple(taken)
 
-    def known(self, word: str) -> tuple[int, ...]:
-        """A worker remembers words in two generations, so that common ones outlive the rest."""
-        found = self.older.get(word)
-        if found is None:
-            found = self.path(word.encode())
-        if len(word) < 64:
-            if len(self.paths) >= REMEMBERED:
-                self.older = self.paths
-                self.paths = {}
-            self.paths[word] = found
-        return found
-
     def pieces(self, text: str) -> Iterator[str]:
         """Parts of the text that are split into words apart: a space between two letters begins a word in any case."""
         at = 0
@@ -156,15 +162,14 @@ class Automaton:
 
     def encoded(self, text: str) -> Iterator[list[int]]:
         """The ids, in runs."""
-        known = self.known
+        path_of = self.paths.__getitem__
         parts = [(text, None)]
         if self.specials and (marks := list(self.specials.finditer(text))):
             starts = [0, *(m.end() for m in marks)]
             parts = [(text[a:m.start()], self.special[m[0]]) for a, m in zip(starts, marks)] + [(text[starts[-1] :], None)]
         for part, mark in parts:
             for piece in self.pieces(part):
-                get = self.paths.get  # of the generation before, if one ends meanwhile: still right
-                yield list(chain.from_iterable([get(w) or known(w) for w in self.split(piece)]))
+                yield list(chain.from_iterable(map(path_of, self.split(piece))))
             if mark is not None:
                 yield [mark]
 
