@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm.common import materialize, table
+from epochal.llm.common import discard, materialize, table
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: First bit and length of each block; its first CODED bits carry the Hamming code.
@@ -208,7 +208,8 @@ def found_links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """a, b: links between fingerprints, enough of them to connect what is connected."""
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at_anchor = anchored(nodes).repartition(n, "anchor").sortWithinPartitions("anchor")
+    # nodes are few bytes, which would be put into few tasks, but each makes some 45 rows
+    at_anchor = anchored(nodes.select("fp").repartition(n, F.xxhash64("fp"))).repartition(n, "anchor").sortWithinPartitions("anchor")
     found = materialize(compared(at_anchor, cell), "simhash")
     links = found.filter("anchor is null").select("a", "b")
     rest = found.filter("anchor is not null").select("anchor", F.col("a").alias("fp"), "home")
@@ -233,8 +234,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        links = materialize(small, "links")
+        last, links = links, materialize(small, "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(last)
         if state == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
