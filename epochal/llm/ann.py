@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from epochal.llm.common import materialize, table
 from epochal.llm.vectors import best, matrix, runs, sample, usable
 
-CURVES, DIMS, BITS, BLOCK, SAMPLE = 12, 5, 8, 2048, 8192
+CURVES, DIMS, BITS, BLOCK, SAMPLE = 16, 5, 8, 2048, 8192
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:

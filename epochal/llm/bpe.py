@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm.common import table
+from epochal.llm.common import spread, table
 
 #: The word pattern of byte-level BPE (a fixed value of the format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,7 +222,7 @@ def with_automaton(df: DataFrame, path: str, schema: str, row: Callable) -> Data
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids."""
-    return with_automaton(docs.select("doc_id", "text"), path, "ids array<int>", lambda m, text: (m.encode(text),))
+    return with_automaton(spread(docs.select("doc_id", "text")), path, "ids array<int>", lambda m, text: (m.encode(text),))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -248,7 +248,7 @@ def _digests(machine: Automaton, text: str | None) -> tuple[int, str, str]:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again from the ids, in one pass."""
-    return with_automaton(docs.select("doc_id", "text"), path, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
+    return with_automaton(spread(docs.select("doc_id", "text")), path, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

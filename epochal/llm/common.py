@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochal.sources.shared import discard, materialize, new_path, shared_dir
 
-__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "shared_dir", "table", "utf8_size"]
+__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "shared_dir", "spread", "table", "utf8_size"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,5 +27,14 @@ def exploded_copies(df: DataFrame, n: str, out: str, step: int = 8192) -> DataFr
     )
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in at least as many partitions as there are cores, for work that costs more than moving the rows. Large tables have more
+    and stay as they are; a small table may be one row group."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores, F.xxhash64("doc_id", "text"))
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

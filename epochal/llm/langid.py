@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from epochal.llm.common import table
+from epochal.llm.common import spread, table
 
 LANGUAGES, PER_LANGUAGE, LONGEST = 64, 500, 20_000
 FEATURES, LANE, STRETCH, EPOCHS, RATE, DECAY = 1 << 17, 32, 24, 3, 0.2, 1e-6
@@ -197,13 +197,12 @@ class Field:
                 pull = -marginals(scores, moves, lengths)
                 expected = pull.copy()
                 pull[np.arange(len(words)), truth] += 1
-                by_word = np.zeros((len(unique), len(languages)))
-                np.add.at(by_word, place, pull)
-                step = np.zeros_like(weights)
-                np.add.at(step, rows, np.repeat(by_word, count, axis=0))
-                step = step / len(part) - DECAY * weights
-                grown += step**2
-                weights += RATE * step / np.sqrt(grown)
+                by_word = np.stack([np.bincount(place, c, len(unique)) for c in pull.T], axis=1)
+                used, where = np.unique(rows, return_inverse=True)
+                step = np.stack([np.bincount(where, np.repeat(c, count), len(used)) for c in by_word.T], axis=1) / len(part)
+                step -= DECAY * weights[used]
+                grown[used] += step**2
+                weights[used] += RATE * step / np.sqrt(grown[used])
                 # moves: observed less expected, by the marginals of both neighbours given the moves
                 inside = np.ones(len(words) - 1, bool)
                 inside[np.cumsum(lengths)[:-1] - 1] = False
@@ -265,14 +264,14 @@ def labelled(rows: DataFrame, field: Field) -> DataFrame:
 
 def predicted(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row."""
-    found = labelled(docs.select("doc_id", "text"), field)
+    found = labelled(spread(docs.select("doc_id", "text")), field)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without those that have no letter, or in which no language has so large a share. The columns stay; where lang was null
     it is the predicted one."""
-    found = labelled(docs.select(*(c for c in docs.columns if c != "text"), "text"), trained_on(docs))
+    found = labelled(spread(docs).select(*(c for c in docs.columns if c != "text"), "text"), trained_on(docs))
     found = found.filter((F.col("__lang") != "und") & (F.col("__score") >= least))
     return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.llm.anchors import K, WINDOW, Piece, mixed
-from epochal.llm.common import materialize, table
+from epochal.llm.common import materialize, spread, table
 from epochal.llm.suffixes import ragged, suffix_arrays
 
 HALF, MOST = 34, 64
@@ -131,7 +131,7 @@ def records(docs: DataFrame) -> DataFrame:
             two = spans_as_records(ids[row], t.marks[row], a, b)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(one, two)], ["hk", "hc", "doc", "pack"])
 
-    return docs.select("doc", "text").mapInArrow(run, RECORD)
+    return spread(docs.select("doc_id", "doc", "text")).select("doc", "text").mapInArrow(run, RECORD)
 
 
 def placed_first(key: np.ndarray, second: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

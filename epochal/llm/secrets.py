@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm.common import materialize, table
+from epochal.llm.common import materialize, spread, table
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,7 +102,7 @@ def scan_row(rid, doc_id, owner, repository, text: str | None) -> tuple:
 def scanned(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     """rid (a number for each row), doc_id, owner, repository, the base spans of the text and the values that look live. Written
     to the shared folder, so that numbers stay as they are."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), "text")
+    keyed = spread(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), "text")
     return materialize(mapped(keyed, SCANNED, scan_row), "scanned")
 
 

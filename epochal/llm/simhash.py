@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm.common import discard, materialize, table
+from epochal.llm.common import discard, materialize, spread, table
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: First bit and length of each block; its first CODED bits carry the Hamming code.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "digest", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint")
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint")
 
 
 def nearest_codeword(words: np.ndarray) -> np.ndarray:
