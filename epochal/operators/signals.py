@@ -90,7 +90,7 @@ def interpolated(samples: DataFrame, up: int, *key: str) -> DataFrame:
 
 def pooled(array: Column, k: int) -> Column:
     """Means of each k neighbours of an array, without the rest at its end."""
-    whole = F.sequence(F.lit(0), F.expr("0") + F.floor(F.size(array) / k).cast("int") - 1)
+    whole = F.sequence(F.lit(0), F.floor(F.size(array) / k).cast("int") - 1)
     return F.when(F.size(array) >= k, F.transform(whole, lambda i: F.aggregate(F.slice(array, i * k + 1, k), F.lit(0.0), lambda s, x: s + x) / k)).otherwise(F.array().cast("array<double>"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="epochal-")
