@@ -111,22 +111,25 @@ FOUND = "q_rid bigint, query_id bigint, rid bigint, vec_id bigint, score double"
 
 
 def reranked(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each block for each query beside it. pairs: rids, ids, v, q_rids, q_ids, q_v."""
+    """The k best of each block for each query beside it. pairs: rids, ids, v, asks (array of q_rids, q_ids, q_v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(6))):
-                rids, ids, v, q_rids, q_ids, q_v = (np.frombuffer(x.as_py(), t) for x, t in zip(row, ("<i8", "<i8", "<f4", "<i8", "<i8", "<f4")))
-                v, q_v = v.reshape(len(ids), -1).astype(np.float64), q_v.reshape(len(q_ids), -1).astype(np.float64)
-                scores, out = q_v @ v.T, []
-                scores[q_rids[:, None] == rids[None, :]] = -np.inf
-                for i in range(len(q_ids)):
-                    near = best(scores[i], ids, k, 1e-9)
-                    near = near[rids[near] != q_rids[i]]
-                    exact = (v[near] * q_v[i]).sum(axis=1)
-                    near = near[np.lexsort((ids[near], -exact))[:k]]
-                    out.append((np.full(len(near), q_rids[i]), np.full(len(near), q_ids[i]), rids[near], ids[near], (v[near] * q_v[i]).sum(axis=1)))
-                if out:
+            for row in zip(*batch.columns):
+                rids, ids, v = (np.frombuffer(x.as_py(), t) for x, t in zip(row, ("<i8", "<i8", "<f4")))
+                v = v.reshape(len(ids), -1).astype(np.float64)
+                for ask in row[3].as_py():
+                    q_rids, q_ids, q_v = (np.frombuffer(ask[c], t) for c, t in (("q_rids", "<i8"), ("q_ids", "<i8"), ("q_v", "<f4")))
+                    q_v = q_v.reshape(len(q_ids), -1).astype(np.float64)
+                    scores, out = q_v @ v.T, []
+                    scores[q_rids[:, None] == rids[None, :]] = -np.inf
+                    for i in range(len(q_ids)):
+                        near = best(scores[i], ids, k, 1e-9)
+                        near = near[rids[near] != q_rids[i]]
+                        exact = (v[near] * q_v[i]).sum(axis=1)
+                        top = np.lexsort((ids[near], -exact))[:k]
+                        near, exact = near[top], exact[top]
+                        out.append((np.full(len(near), q_rids[i]), np.full(len(near), q_ids[i]), rids[near], ids[near], exact))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q_rid", "query_id", "rid", "vec_id", "score"])
 
     return pairs.mapInArrow(run, FOUND)
@@ -147,8 +150,10 @@ def nearest(vectors: DataFrame, k: int, query_step: int, curves: int = CURVES, b
     if not len(fit):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     cut = blocks(rows.withColumn("vec_id", F.col("vec_id").cast("bigint")), Curves(fit, curves), block, query_step)
-    asks = cut.filter(F.length("q_ids") > 0).select("curve", F.explode(F.array(F.col("nth") - 1, "nth", F.col("nth") + 1)).alias("nth"), "q_rids", "q_ids", "q_v")
-    pairs = cut.select("curve", "nth", "rids", "ids", "v").join(asks, ["curve", "nth"]).select("rids", "ids", "v", "q_rids", "q_ids", "q_v")
+    beside = F.explode(F.array(F.col("nth") - 1, "nth", F.col("nth") + 1)).alias("nth")
+    asks = cut.filter(F.length("q_ids") > 0).select("curve", beside, F.struct("q_rids", "q_ids", "q_v").alias("ask"))
+    asks = asks.groupBy("curve", "nth").agg(F.collect_list("ask").alias("asks"))  # three at most
+    pairs = cut.select("curve", "nth", "rids", "ids", "v").join(asks, ["curve", "nth"]).select("rids", "ids", "v", "asks")
     return ranked(reranked(pairs, k), k)
 
 
