@@ -6,11 +6,11 @@ def test_variants(spark, none):
     mit = licenses.KNOWN["MIT"]
     texts = [
         "MIT License\n" + mit, mit, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper(), mit.replace("\n\n", " ** "), mit.replace("sublicense", "sublicence"), mit.replace("COPYRIGHT HOLDERS", "copyright owners"),
-        mit + " but not on Sundays", licenses.NOTICES["MIT notice"], None, "", licenses.KNOWN["ISC"],
+        mit + " but not on Sundays", mit.replace("above copyright", "above\ncopyright"), "(c) 1999-2020 A\n© B\nCopyright <year> C\n" + licenses.KNOWN["BSD-3-Clause"], licenses.NOTICES["MIT notice"], None, "", licenses.KNOWN["ISC"],
     ]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
     got = {r.doc_id: r.license for r in licenses.scanned(docs, licenses.known(spark)).collect()}
-    assert got == {0: None, 1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT", 6: None, 7: "MIT notice", 8: None, 9: None, 10: "ISC"}
+    assert got == {0: None, 1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT", 6: None, 7: "MIT", 8: "BSD-3-Clause", 9: "MIT notice", 10: None, 11: None, 12: "ISC"}
     assert licenses.scanned(none, licenses.known(spark)).count() == 0
 
 
