@@ -2,12 +2,13 @@
 
 Vectors are projected at random to a few dimensions, shifted and quantised, and get a key along a Hilbert curve; several
 projections and shifts give several orderings. Spark range-partitions each ordering by key and cuts it into blocks of neighbours.
-A query looks into its own block and the ones beside it on every curve; the blocks' best candidates merge and are ranked by the
-exact inner product.
+A query looks into its own block and all that lie within its reach on either side of every curve; the blocks' best candidates
+merge and are ranked by the exact inner product.
 
 The scales of the quantisation are fit on a bounded sample (SAMPLE rows); every row is indexed. Recall is measured against brute
-force in the tests. Isotropic vectors of many dimensions have no short cut: with blocks of fixed size, recall falls as the
-table grows unless CURVES grows with it.
+force in the tests. Isotropic vectors of many dimensions have no short cut, so the reach is a share (REACH) of the counted rows, and
+at least a block: recall holds as the table grows, and work grows with queries times rows, as in brute force. What a task holds
+at once is bounded: blocks grow with the reach up to LARGEST rows, beyond which more blocks are in reach.
 
 Defined cases: vectors that are null, zero, of another length than the commonest, or with null or non-finite components take no
 part; repeated ids are rows of their own; with fewer candidates than k all found are returned; an empty table gives an empty result.
@@ -15,6 +16,7 @@ part; repeated ids are rows of their own; with fewer candidates than k all found
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,9 @@ from epochal.llm.common import materialize, table
 from epochal.llm.vectors import best, matrix, runs, sample, usable
 
 CURVES, DIMS, BITS, BLOCK, SAMPLE = 16, 5, 8, 2048, 8192
+#: Of the table's rows, the share that a query sees on either side of its block on a curve; the most rows of a block; query blocks
+#: beside a block in one row, and scores that a task computes at once.
+REACH, LARGEST, ASKS, SCORES = 0.04, 16384, 3, 1 << 21
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,7 +83,8 @@ class Curves:
 
 
 def blocks(rows: DataFrame, curves: Curves, block: int, query_step: int) -> DataFrame:
-    """curve, nth, rids, ids, v and the same of the queries among them (q_rids, q_ids, q_v): a row per block, nth along its curve."""
+    """curve, at, begin, end, rids, ids, v and the same of the queries among them (q_rids, q_ids, q_v): a row per block, which has the
+    rows from begin to end of its curve."""
     spark, count = rows.sparkSession, len(curves.maps)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +100,32 @@ def blocks(rows: DataFrame, curves: Curves, block: int, query_step: int) -> Data
         for seq, (curve, key, rid, vec_id, v) in enumerate(runs(batches, 0, block)):
             rids, ids, flat = rid.to_numpy(), vec_id.to_numpy(), v.to_pylist()
             asks = np.flatnonzero(ids % query_step == 0)
-            made = [curve[0].as_py(), key[0].as_py(), part << 32 | seq, rids.tobytes(), ids.tobytes(), b"".join(flat), rids[asks].tobytes(), ids[asks].tobytes(), b"".join(flat[i] for i in asks)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) if k not in (0,) else pa.array([x], pa.int32()) for k, x in enumerate(made)], ["curve", "key", "at", "rids", "ids", "v", "q_rids", "q_ids", "q_v"])
+            made = [curve[0].as_py(), key[0].as_py(), part << 32 | seq, rids.tobytes(), ids.tobytes(), b"".join(flat), rids[asks].tobytes(), ids[asks].tobytes(), b"".join(flat[i] for i in asks), len(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) if k not in (0,) else pa.array([x], pa.int32()) for k, x in enumerate(made)], ["curve", "key", "at", "rids", "ids", "v", "q_rids", "q_ids", "q_v", "size"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.select("rid", "vec_id", "v").mapInArrow(keyed, "curve int, key bigint, rid bigint, vec_id bigint, v binary")
     sorted_ = spread.repartitionByRange(n, "curve", "key", F.xxhash64("rid")).sortWithinPartitions("curve", "key", F.xxhash64("rid"))
-    made = sorted_.mapInArrow(cut, "curve int, key bigint, at bigint, rids binary, ids binary, v binary, q_rids binary, q_ids binary, q_v binary")
+    made = sorted_.mapInArrow(cut, "curve int, key bigint, at bigint, rids binary, ids binary, v binary, q_rids binary, q_ids binary, q_v binary, size bigint")
     made = materialize(made, "curves")
     order = Window.partitionBy("curve").orderBy("at")
-    nth = made.select("curve", "at", F.row_number().over(order).alias("nth"))
-    return made.join(nth, ["curve", "at"])
+    end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    places = made.select("curve", "at", (end - F.col("size")).alias("begin"), end.alias("end"))
+    return made.join(places, ["curve", "at"])
+
+
+def beside(cut: DataFrame, reach: int) -> DataFrame:
+    """curve, at, q_at, part: the blocks with queries (q_at) within reach of each block, ASKS at most in a part. Joined by cells of reach
+    rows; a pair counts in the first cell that both have."""
+    span = lambda low, high: F.sequence(F.floor(low / reach), F.floor((high - 1) / reach))
+    low, high = F.col("begin") - reach, F.col("end") + reach
+    seen = cut.select("curve", "at", "begin", "end", span(F.col("begin"), F.col("end")).alias("cells"))
+    asks = cut.filter(F.length("q_ids") > 0).select("curve", F.col("at").alias("q_at"), low.alias("low"), high.alias("high"), span(low, high).alias("q_cells"))
+    seen, asks = seen.withColumn("cell", F.explode("cells")), asks.withColumn("cell", F.explode("q_cells"))
+    pairs = seen.join(asks, ["curve", "cell"]).filter((F.col("end") > F.col("low")) & (F.col("begin") < F.col("high")))
+    pairs = pairs.filter(F.col("cell") == F.greatest(F.col("cells")[0], F.col("q_cells")[0]))
+    nth = F.row_number().over(Window.partitionBy("curve", "at").orderBy("q_at"))
+    return pairs.select("curve", "at", "q_at", F.floor((nth - 1) / ASKS).alias("part"))
 
 
 FOUND = "q_rid bigint, query_id bigint, rid bigint, vec_id bigint, score double"
@@ -121,10 +142,12 @@ def reranked(pairs: DataFrame, k: int) -> DataFrame:
                 for ask in row[3].as_py():
                     q_rids, q_ids, q_v = (np.frombuffer(ask[c], t) for c, t in (("q_rids", "<i8"), ("q_ids", "<i8"), ("q_v", "<f4")))
                     q_v = q_v.reshape(len(q_ids), -1).astype(np.float64)
-                    scores, out = q_v @ v.T, []
-                    scores[q_rids[:, None] == rids[None, :]] = -np.inf
+                    out, step = [], max(1, SCORES // len(ids))
                     for i in range(len(q_ids)):
-                        near = best(scores[i], ids, k, 1e-9)
+                        if i % step == 0:
+                            scores = q_v[i : i + step] @ v.T
+                            scores[q_rids[i : i + step, None] == rids[None, :]] = -np.inf
+                        near = best(scores[i % step], ids, k, 1e-9)
                         near = near[rids[near] != q_rids[i]]
                         exact = (v[near] * q_v[i]).sum(axis=1)
                         top = np.lexsort((ids[near], -exact))[:k]
@@ -143,17 +166,18 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int, query_step: int, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score. Queries are the rows whose vec_id is divisible by query_step."""
+    """query_id, rank, vec_id, score. Queries are the rows whose vec_id is divisible by query_step. block: the least rows of a block and
+    of the reach."""
     spark = vectors.sparkSession
     rows = usable(vectors, zero=False)
     fit = sample(rows, SAMPLE)
     if not len(fit):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    cut = blocks(rows.withColumn("vec_id", F.col("vec_id").cast("bigint")), Curves(fit, curves), block, query_step)
-    beside = F.explode(F.array(F.col("nth") - 1, "nth", F.col("nth") + 1)).alias("nth")
-    asks = cut.filter(F.length("q_ids") > 0).select("curve", beside, F.struct("q_rids", "q_ids", "q_v").alias("ask"))
-    asks = asks.groupBy("curve", "nth").agg(F.collect_list("ask").alias("asks"))  # three at most
-    pairs = cut.select("curve", "nth", "rids", "ids", "v").join(asks, ["curve", "nth"]).select("rids", "ids", "v", "asks")
+    reach = max(block, math.ceil(REACH * rows.count()))
+    cut = blocks(rows.withColumn("vec_id", F.col("vec_id").cast("bigint")), Curves(fit, curves), max(block, min(reach, LARGEST)), query_step)
+    asks = cut.select("curve", F.col("at").alias("q_at"), F.struct("q_rids", "q_ids", "q_v").alias("ask"))
+    asks = beside(cut, reach).join(asks, ["curve", "q_at"]).groupBy("curve", "at", "part").agg(F.collect_list("ask").alias("asks"))
+    pairs = cut.select("curve", "at", "rids", "ids", "v").join(asks, ["curve", "at"]).select("rids", "ids", "v", "asks")
     return ranked(reranked(pairs, k), k)
 
 

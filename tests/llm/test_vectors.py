@@ -40,6 +40,34 @@ def test_recall(table):
         rank[r.query_id] = r.rank
 
 
+def test_recall_holds_as_the_table_grows(spark):
+    """Sixteen curves of three blocks of 64 rows are a quarter of this table."""
+    draw = np.random.default_rng(3)
+    v = draw.standard_normal((12_000, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32).astype(float)
+    ids = np.arange(len(v))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    want = {(q, i) for q, _, i, _ in exact(ids, v, 100, 20, False)}
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(frame, 20, 100, block=64).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_blocks_in_reach(spark):
+    """Blocks within reach rows of a block with queries, once each, three to a part."""
+    draw, rows, begin = np.random.default_rng(4), [], 0
+    for at in range(60):
+        size = int(draw.integers(1, 40))
+        rows.append((0, at, begin, begin + size, bytearray(b"x" if at % 3 else b"")))
+        begin += size
+    cut = spark.createDataFrame(rows, "curve int, at long, begin long, end long, q_ids binary")
+    for reach in (7, 40, 300):
+        got = [(r.at, r.q_at) for r in ann.beside(cut, reach).collect()]
+        want = {(a[1], q[1]) for a in rows for q in rows if q[4] and a[3] > q[2] - reach and a[2] < q[3] + reach}
+        assert len(got) == len(set(got)) and set(got) == want
+        parts = ann.beside(cut, reach).groupBy("at", "part").count().collect()
+        assert max(r["count"] for r in parts) <= 3
+
+
 def test_hilbert_is_a_curve():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = ann.hilbert(cells, 3)
