@@ -1,8 +1,9 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Patterns give candidate values. Each value is hashed at once (the scan's output holds no value in clear) and counted over the
-corpus by distinct repositories and owners: a value that many owners hold is a copied example, whatever it looks like; a value
-that one or two owners hold and that looks random is taken for a live credential. Those values become spans of kind live.
+corpus by distinct repositories and owners: a value that many owners or many repositories hold is a copied example, whatever it
+looks like; a value that one or two owners hold in a few repositories and that looks random is taken for a live credential. Those
+values become spans of kind live.
 
 Owners and repositories are columns the caller names. `documents` has no repository, so the query takes the source for the owner
 and the document for the repository.
@@ -33,8 +34,8 @@ KINDS = ["assign", "access", "hex", "live"]
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: Parts of values that stand for a secret in manuals and tests.
 PLACEHOLDERS = re.compile(r"example|sample|change_?me|your|dummy|placeholder|test|xxxx|1234567|(.)\1{5}", re.IGNORECASE)
-#: A live value is at least so long, has so many bits a character, and fewer owners than a copied example.
-LIVE_LENGTH, LIVE_BITS, EXAMPLE_OWNERS = 16, 3.0, 3
+#: A live value is at least so long, has so many bits a character, and fewer owners and fewer repositories than a copied example.
+LIVE_LENGTH, LIVE_BITS, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 16, 3.0, 3, 10
 #: Parts into which the rows with one value are dealt.
 SALTS = 32
 
@@ -106,13 +107,13 @@ def scanned(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     return materialize(mapped(keyed, SCANNED, scan_row), "scanned")
 
 
-def owned_values(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """value, owners, repositories: of the values with fewer owners than a copied example. found: value, owner, repository. Each
+def owned_values(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """value, owners, repositories: of the values with fewer owners and fewer repositories than a copied example. found: value, owner, repository. Each
     step keeps one row per key and task before it shuffles, so a value on a third of all rows costs no more than others."""
     once = found.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
     owners = once.groupBy("value", "owner").agg(F.count("*").alias("repositories"))
     counts = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    return counts.filter(F.col("owners") < example_owners)
+    return counts.filter((F.col("owners") < example_owners) & (F.col("repositories") < example_repositories))
 
 
 def live_spans(base: DataFrame) -> DataFrame:

@@ -48,6 +48,17 @@ def test_ownership(spark):
     assert out[1].n_chars == 14 and out[10].text == f"token={copied} é" and out[1].live == "l"
 
 
+def test_many_repositories_of_one_owner(spark):
+    """A value in many documents of one source is a copied example; one row less, or the same document again, and it is live."""
+    many, few = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "0123af5679abc8de0f13579bdf2468ac"
+    n = secrets.EXAMPLE_REPOSITORIES
+    rows = [(i, f"token={many}") for i in range(n)] + [(100 + i, f"token={few}") for i in range(n - 1)] + [(100, f"token={few}")] * 5
+    docs = spark.createDataFrame([(*r, "hot", 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    for r in secrets.secret_spans(docs, "source", "doc_id").collect():
+        assert r.n_live == (r.doc_id >= 100)
+    assert all(("[secret]" in r.text) == (r.doc_id >= 100) for r in secrets.redacted(docs).collect())
+
+
 def test_odd(odd, none):
     got = secrets.secret_spans(odd, "source", "doc_id").collect()
     assert len(got) == odd.count()
