@@ -32,11 +32,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids."""
+    """doc_id, n_tokens, ids, and decoded_sha256: the digest of the text that the ids decode to."""
     import public_tokenizers
 
-    encoded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    encoded = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -225,6 +225,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return with_automaton(spread(docs.select("doc_id", "text")), path, "ids array<int>", lambda m, text: (m.encode(text),))
 
 
+def _encoded_and_decoded(machine: Automaton, text: str | None) -> tuple[list[int], str]:
+    ids = machine.encode(text)
+    return ids, hashlib.sha256(machine.decode(ids).encode()).hexdigest()
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, decoded_sha256: encoded, and the digest of the text that the ids decode to, in one pass."""
+    return with_automaton(spread(docs.select("doc_id", "text")), path, "ids array<int>, decoded_sha256 string", _encoded_and_decoded)
+
+
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text, from doc_id, ids."""
     return with_automaton(encoded.select("doc_id", "ids"), path, "text string", lambda m, ids: (m.decode(ids or []),))

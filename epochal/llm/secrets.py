@@ -137,7 +137,8 @@ def secret_spans(docs: DataFrame, owner: str, repository: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[secret]") -> DataFrame:
-    """docs with every live value in its own text replaced by the mark; columns and rows stay, n_chars follows if there is one."""
+    """docs with every live value in its own text replaced by the mark, those that overlap by one; columns and rows stay, n_chars
+    follows if there is one."""
     live = live_spans(scanned(docs, owner, repository)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value").alias("__live"))
 
     def row(*values) -> tuple:
@@ -146,9 +147,10 @@ def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
             return (text,)
         owned, at, out = set(live), 0, []
         for a, b in sorted({(a, b) for *_, a, b in spans_of(text)}):
-            if a >= at and digest_of(text[a:b]) in owned:
-                out += [text[at:a], mark]
-                at = b
+            if digest_of(text[a:b]) in owned:
+                if a >= at:
+                    out += [text[at:a], mark]
+                at = max(at, b)
         return ("".join([*out, text[at:]]),)
 
     marked = docs.join(live.hint("merge"), docs.doc_id.eqNullSafe(F.col("__id")), "left")

@@ -1,5 +1,6 @@
 """The pipeline's stages against what the operators' own tests have checked, and its guard."""
 
+import hashlib
 import subprocess
 import sys
 from collections import Counter
@@ -47,6 +48,14 @@ def test_stages(spark, small):
         assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_last_stage_decodes(spark, small, odd):
+    for docs in (small.limit(50), odd.filter("doc_id in (3, 4, 6, 11)")):
+        texts = {r.doc_id: r.text or "" for r in docs.collect()}
+        got = dict(corpus_pipeline.STAGES)["BPE"](spark, docs, SF).collect()
+        assert len(got) == len(texts)
+        assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
