@@ -11,8 +11,8 @@ import numpy as np
 #: Length of the strings that are looked for, and of the K-grams whose hashes anchor them.
 WINDOW, K = 100, 32
 GRAMS = WINDOW - K + 1
-#: Bits of a place within a piece; the bits above hold the hash.
-PLACE = np.uint64((1 << 28) - 1)
+#: Bits of a place within a piece (a string of Spark's is under 2**31 bytes); the bits above hold the hash.
+PLACE = np.uint64((1 << 32) - 1)
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

@@ -74,3 +74,53 @@ def test_one_id_two_texts(spark):
     a, b = ("".join(draw.choice("abcdefgh") for _ in range(150)) for _ in range(2))
     df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in repeats.removal(df).collect()) == [(1, 0), (2, 0), (2, 150)]
+
+
+def by_row(rows):
+    """As brute, by row: rows without an id share a place."""
+    order = [(float("inf") if i is None else i, t.encode()) for i, t in rows]
+    seen = {}
+    for i, t in sorted(order):
+        for k in range(len(t) - 99):
+            seen[t[k : k + 100]] = min(seen.get(t[k : k + 100], (i, k)), (i, k))
+    out = []
+    for i, t in order:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if seen[t[k : k + 100]] < (i, k):
+                gone[k : k + 100] = b"\1" * 100
+        out.append((len(t), sum(gone), hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
+    return sorted(out)
+
+
+def test_many_rows_without_an_id(spark):
+    draw = random.Random(7)
+    common = "".join(draw.choice("abcdefgh") for _ in range(400))
+    rows = []
+    for i in range(1000):
+        a = draw.randint(0, 250)
+        own = "".join(draw.choice("abcdefgh") for _ in range(150))
+        rows.append((None, own + common[a : a + 150] if i % 3 else own + own))
+    rows += [(5, common), (None, rows[0][1]), (None, rows[0][1])]
+    got = repeats.removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == by_row(rows)
+
+
+def test_equal_marks(spark):
+    """The 16 bits that stand in a record aren't what tells texts apart."""
+    draw, by_mark = random.Random(2), {}
+    while True:
+        text = "".join(draw.choice("abcdefgh") for _ in range(150))
+        other = by_mark.setdefault(repeats.text_mark(text.encode()), text)
+        if other != text:
+            break
+    rows = [(1, text), (None, text), (None, other)]
+    got = repeats.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == by_row(rows)
+
+
+def test_ids_that_are_strings(spark):
+    draw = random.Random(1)
+    a = "".join(draw.choice("abcdefgh") for _ in range(150))
+    df = spark.createDataFrame([("b", a), ("a10", a), (None, a), ("a9", "x" + a)], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.removal(df).collect()} == {"a10": 0, "a9": 150, "b": 150, None: 150}
