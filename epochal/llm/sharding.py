@@ -5,8 +5,9 @@ slot-to-shard map says where each slot lives. Rebalancing edits the map: it move
 records never rehash. The map has one row per virtual slot, so its size is fixed by a parameter, whatever the corpus.
 
 Defined cases: a null text has no bytes and the checksum of the empty string; a null doc_id hashes by its text alone; rows that
-are equal in every used column are counted before any shuffle and unfolded after numbering, so repeated rows can't make a hot
-slot; an empty table gives an empty result.
+are equal in every used column are counted before any shuffle, their copies go to consecutive slots, and they are unfolded after
+numbering, so repeated rows can't make a hot slot; an empty table gives an empty result. A single row is never divided: shards are
+even as far as the largest rows allow.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ VIRTUAL_SLOTS = 4096
 
 
 def virtual_slots(docs: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """vslot, doc_id, size, text_crc32, n: n equal rows. Equal rows meet by partial aggregation."""
+    """vslot, doc_id, size, text_crc32, n: n equal rows. Equal rows meet by partial aggregation; the first copy goes to the slot of
+    the row's hash, the next to the slot after it, and so on around."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     base = docs.select("doc_id", (utf8_size(F.col("text")) + 1).alias("size"), crc.alias("text_crc32"))
-    slot = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int")
-    return base.groupBy(slot.alias("vslot"), "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    equal = base.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    places = F.sequence(F.lit(0).cast("long"), F.least(F.col("copies"), F.lit(n_slots).cast("long")) - 1)
+    dealt = equal.select("*", F.explode(places).alias("place"))
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32") + F.col("place"), F.lit(n_slots)).cast("int")
+    n = F.expr(f"copies div {n_slots}") + F.when(F.col("place") < F.col("copies") % n_slots, 1).otherwise(0)
+    return dealt.select(slot.alias("vslot"), "doc_id", "size", "text_crc32", n.alias("n"))
 
 
 def slot_loads(slotted: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -87,15 +93,17 @@ class SlotMaps:
         return self.write(version + 1, edited_map(self.read(version), loads, shards))
 
 
-def shard_documents(docs: DataFrame, shards: int, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int, n_slots: int = VIRTUAL_SLOTS, maps: SlotMaps | None = None, version: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version: one row per input row. The law is bytes:
-    shards end within about one virtual slot of each other."""
+    shards end within about one virtual slot of each other. maps and version: a map of n_slots slots to go on from, so that only
+    the slots that must move do; without them a first map is made."""
     spark = docs.sparkSession
     slotted = materialize(virtual_slots(docs, n_slots), "slotted")
     loads = materialize(slot_loads(slotted, n_slots).coalesce(1), "loads")
-    maps = SlotMaps(spark, new_path(spark, "slot-map"))
-    maps.write(0, first_map(spark, shards, n_slots))
-    placed = maps.rebalance(0, loads, shards)
+    if maps is None:
+        maps, version = SlotMaps(spark, new_path(spark, "slot-map")), 0
+        maps.write(0, first_map(spark, shards, n_slots))
+    placed = maps.rebalance(version, loads, shards)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.join(loads, "vslot").select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
@@ -103,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int, n_slots: int = VIRTUAL_SLOTS)
     rows = exploded_copies(numbered.join(F.broadcast(placed), "vslot"), "n", "copy")  # n_slots rows at most
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("from") + F.col("copy")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(1).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version + 1).alias("map_version"),
     )
 
 

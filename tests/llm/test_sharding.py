@@ -42,5 +42,30 @@ def test_odd(odd, none):
 
 def test_hot_row(spark):
     hot = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
-    got = sharding.shard_documents(hot, 2, 64)
-    assert sorted(r.slot for r in got.collect()) == list(range(3000))
+    got = sharding.shard_documents(hot, 2, 64).collect()
+    slots = [sorted(r.slot for r in got if r.shard == k) for k in (0, 1)]
+    assert all(x == list(range(len(x))) for x in slots) and len(got) == 3000
+    assert abs(len(slots[0]) - len(slots[1])) <= 47  # a virtual slot's rows
+
+
+def test_law_with_repeated_rows(spark):
+    """Half of the rows are equal, without an id."""
+    hot = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    rest = spark.range(8000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    got = sharding.shard_documents(hot.unionByName(rest), 8).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == 16000 and len(loads) == 8 and loads.max() - loads.min() < 0.01 * loads.mean()
+    for _, slots in got.groupby("shard")["slot"]:
+        assert sorted(slots) == list(range(len(slots)))
+
+
+def test_going_on_from_a_map(spark, small, tmp_path):
+    maps = sharding.SlotMaps(spark, str(tmp_path / "maps"))
+    maps.write(0, sharding.first_map(spark, 8, 256))
+    first = sharding.shard_documents(small, 8, 256, maps, 0).toPandas()
+    more = small.unionByName(small.withColumn("doc_id", F.col("doc_id") + 10_000).limit(20))
+    then = sharding.shard_documents(more, 8, 256, maps, 1).toPandas()
+    assert set(then.map_version) == {2}
+    shard = dict(zip(first.doc_id, first.shard))
+    stayed = [shard[i] == s for i, s in zip(then.doc_id, then.shard) if i in shard]
+    assert sum(stayed) > 0.7 * len(stayed)
