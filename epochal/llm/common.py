@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochal.sources.shared import discard, materialize, new_path, shared_dir
 
-__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "shared_dir", "spread", "table", "utf8_size"]
+__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "shared_dir", "spread", "table", "unused", "utf8_size"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def exploded_copies(df: DataFrame, n: str, out: str, step: int = 8192) -> DataFrame:
     """One row for each of 0 .. n-1 in column out. In two levels, so no array is longer than n / step or step."""
     chunk = f"__{out}_chunk"

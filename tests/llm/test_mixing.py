@@ -63,7 +63,7 @@ def test_shards_differ_and_sum_to_quota(spark, monkeypatch):
     plan = mixing.mix_plan(sources).collect()
     quota = {r.key: r.slots for r in sources.collect()}
     assert Counter(r.key for r in plan) == quota
-    assert sorted(r.place for r in plan) == list(range(sum(quota.values())))
+    assert all(1 <= r.cut <= mixing.BLOCK_WORDS for r in plan if r.cut)
     per = defaultdict(Counter)
     for r in plan:
         per[r.shard][r.key] += 1
@@ -79,3 +79,45 @@ def test_odd(odd, none):
     most = Counter(r.doc_id for r in out.collect())
     assert most[6] <= 3 and 3 not in most
     assert mixing.mixed(none).count() == 0 and mixing.resampled(none).count() == 0
+
+
+def totals(rows):
+    out = Counter()
+    for source, n in rows:
+        out[source] += n
+    return out
+
+
+def test_small_sources_come_near_their_targets(spark, small):
+    """Sources that are less than a block, and many that end in a short block."""
+    for sizes in ([100, 60, 20], [1, 1, 1], [127, 128, 129, 255, 256, 257, 1000], [5000, 300, 40, 7]):
+        rows = [(100 * k + j, "w " * (n - n // 3 if j else n // 3), f"s{k}") for k, n in enumerate(sizes) for j in range(2)]
+        got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        taken, target = totals((r.source, r.taken) for r in got), {r.source: r.target for r in got}
+        assert all(abs(taken[s] - target[s]) <= 0.5 for s in target) and all(r.taken <= 3 * r.size for r in got)
+    got = mixing.mixed(small).collect()
+    taken, target = totals((r.source, r.taken) for r in got), {r.source: r.target for r in got}
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+
+
+def test_inverse_permutation(spark):
+    df = spark.range(100).select(mixing.permuted(mixing.permuted(F.col("id"), F.lit(100).cast("long"), F.lit(3)), F.lit(100).cast("long"), F.lit(3), inverse=True).alias("back"))
+    assert [r.back for r in df.collect()] == list(range(100))
+
+
+def test_whole_documents_come_near_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    target = {r.source: r.target for r in mixing.mixed(docs).collect()}
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    out = totals((r.source, words(r.text)) for r in mixing.resampled(docs).collect())
+    largest = {}
+    for r in docs.collect():
+        largest[r.source] = max(largest.get(r.source, 0), words(r.text))
+    for s in target:
+        assert abs(out[s] - target[s]) <= max(0.02 * target[s], largest[s])
+
+
+def test_names_that_clash(spark, odd):
+    named = odd.withColumn("id", F.lit("x")).withColumn("times", F.lit("y")).withColumn("COPY", F.lit("z"))
+    out = mixing.resampled(named)
+    assert out.columns == named.columns and {(r.id, r.times, r.COPY) for r in out.collect()} == {("x", "y", "z")}
