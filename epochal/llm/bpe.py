@@ -1,13 +1,17 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens. It starts as one state with an arc per byte and is built by one gadget per merge, in order: for the
-merge of a and b into ab, whatever state an a-arc leads to loses its b-arc (a and b would have merged), and every state with
-that a-arc gets an ab-arc to where the b-arc led. All arcs with one label lead to one state, so states are named by labels, and
-the arcs of a state are those it had from its right part when it was made, less those that later gadgets took. `Automaton.arc`
-replays just the gadgets that bear on one arc, newest first, and the answers fill the transition table; the full table has
-2.5e9 arcs, of which a corpus uses a few hundred thousand. A token sequence is BPE's own exactly if the automaton accepts it, and
-for every word there is one accepted path whose labels spell it: encoding finds it, longest label first, and
-decoding emits the labels of its arcs.
+The automaton reads tokens. It starts as one state with an arc per byte and is built once, by one gadget per merge, in order: for
+the merge of a and b into ab, whatever state an a-arc leads to loses its b-arc (a and b would have merged), and every state with
+that a-arc gets an ab-arc to a copy of the state that the b-arc led to. All arcs with one label lead to one state, so states are
+named by labels. The whole table has 2.5e9 arcs, of which 7e7 are missing between labels of words, so a gadget writes down only what it
+changes: the arc that a state lost, and the state of which the new one is a copy and the arc beside which the new arc lies, both as of
+that gadget. Those are default arcs: what a state has no entry for is as in the state that it was copied from. Arcs that were once
+found are kept in a plain table. A merge whose gadget finds no arc (`whole` lacks it) makes a label that no text has.
+
+A token sequence is BPE's own exactly if the automaton accepts it, and each string is spelled by one accepted path. So every prefix
+of a word has one last label. Encoding reads a word byte by byte: a second table (of prefixes of labels, with failure arcs) steps to the
+longest label that ends there, and the last label of the prefix is the longest of it and the shorter ones that end there whose arc
+leaves the prefix before it. That is linear in the word. Decoding emits the labels of the path's arcs.
 
 Defined cases: null and empty texts have no tokens (the digests are those of the empty string); the special token's string in a
 text becomes the special id, as the tokenizers library has it; texts of any length go through in pieces cut where a token ends
@@ -68,84 +72,109 @@ class Automaton:
         self.label = {i: spelled(s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in read.get("added_tokens", [])}
         self.label |= {i: s.encode() for s, i in self.special.items()}
-        self.born: dict[int, int] = {}  # by token: its merge's place, -1 for single bytes
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        count = max(self.label) + 1
+        #: By label: the gadget that made its state (-1: the first state), the label beside whose arcs its arcs lie, and the label
+        #: whose state its state is a copy of. By state and label: the gadget that took the arc.
+        self.made, self.beside, self.copied = [-1] * count, [-1] * count, [-1] * count
+        self.lost: dict[int, int] = {}
+        self.arcs: dict[int, bool] = {}
+        self.whole = {self.label[i]: i for i in vocab.values() if len(self.label[i]) == 1}
         for k, pair in enumerate(read["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            ab = vocab[a + b]
-            self.merged[vocab[a], vocab[b]] = k
-            self.born[ab], self.parts[ab] = k, (vocab[a], vocab[b])
-        for s, i in vocab.items():
-            if len(self.label[i]) == 1:
-                self.born[i] = -1
-        self.arcs: dict[int, bool] = {}
-        self.whole = {self.label[i]: i for i in self.born if self.reachable(i)}
-        self.longest = max(map(len, self.whole))
+            self.add_gadget(k, vocab[a], vocab[b], vocab[a + b])
+        self.read_labels()
         self.split = regex.compile(PRE_SPLIT).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.paths = Paths(self.path)
         self.names = {i: str(i) for i in self.label}
 
-    def reachable(self, token: int) -> bool:
-        """Whether the gadget that makes the token still finds both its arcs."""
-        return self.born[token] < 0 or self.arc(*self.parts[token], self.born[token])
+    def add_gadget(self, k: int, a: int, b: int, ab: int) -> None:
+        if self.label[a] in self.whole and self.label[b] in self.whole and self.arc(a, b):
+            self.whole[self.label[ab]] = ab
+        self.made[ab], self.beside[ab], self.copied[ab] = k, a, b
+        self.lost[a << 32 | b] = k
 
-    def arc(self, u: int, v: int, until: int = 1 << 60) -> bool:
-        """Whether the state after u has a v-arc once the gadgets before place `until` are built."""
-        merged, born, parts = self.merged, self.born, self.parts
+    def arc(self, u: int, v: int) -> bool:
+        """Whether the state after u has a v-arc."""
+        lost, made, beside, copied, until = self.lost.get, self.made, self.beside, self.copied, 1 << 60
         while True:
-            k = merged.get((u, v))
-            if k is not None and k < until:
+            if lost(u << 32 | v, until) < until:
                 return False
-            nu, nv = born[u], born[v]
+            nu, nv = made[u], made[v]
             if nu < 0 and nv < 0:
                 return True
-            if nu == nv:  # u is v: both arcs come from the gadget's own parts
-                u, v, until = parts[u][1], parts[v][0], nu
-            elif nu > nv:  # u's state was copied from that of its right part
-                u, until = parts[u][1], nu
-            else:  # the v-arc was laid over that of v's left part; of two equal pairs the left one merges first
-                v, until = parts[v][0], nv
-                if merged.get((u, v)) == until:
+            if nu == nv:  # u is v: the gadget laid the new arc into a state that has lost nothing since
+                u, v, until = copied[u], beside[v], nu
+            elif nu > nv:  # as in the state that u's was copied from
+                u, until = copied[u], nu
+            else:  # as the arc beside it; of two equal pairs the left one merges first
+                v, until = beside[v], nv
+                if lost(u << 32 | v, -1) == until:
                     return False
 
     def follows(self, u: int, v: int) -> bool:
-        key = u << 32 | v
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) > 8 * REMEMBERED:
-                self.arcs.clear()
-            known = self.arcs[key] = self.arc(u, v)
+        if len(self.arcs) > 8 * REMEMBERED:
+            self.arcs.clear()
+        known = self.arcs[u << 32 | v] = self.arc(u, v)
         return known
 
+    def read_labels(self) -> None:
+        """The byte table: steps by node and byte, failure arcs, the longest label that ends at a node, and by label the longest of the
+        shorter ones that end with it."""
+        steps, fail, ends, depth_of = {}, [0], [-1], [0]
+        for word, token in self.whole.items():
+            node = 0
+            for byte in word:
+                to = steps.get(node << 8 | byte)
+                if to is None:
+                    to = steps[node << 8 | byte] = len(fail)
+                    fail.append(0)
+                    ends.append(-1)
+                    depth_of.append(depth_of[node] + 1)
+                node = to
+            ends[node] = token
+        self.shorter = [-1] * len(self.made)
+        self.size = [len(self.label.get(i, b"")) for i in range(len(self.made))]
+        for key, node in sorted(steps.items(), key=lambda s: depth_of[s[1]]):
+            before, byte = key >> 8, key & 255
+            if before:
+                at = fail[before]
+                while (to := steps.get(at << 8 | byte)) is None and at:
+                    at = fail[at]
+                fail[node] = to or 0
+            longest = ends[fail[node]]
+            if ends[node] < 0:
+                ends[node] = longest
+            else:
+                self.shorter[ends[node]] = longest
+        self.steps, self.fail, self.ends = steps, fail, ends
+
     def path(self, word: bytes) -> tuple[int, ...]:
-        """The labels of the accepted path that spells the word: at each place the longest label first whose arc there is. A place
-        that was left once is on no accepted path, as the path to it is unique, so places are never tried twice."""
-        whole, arcs, follows, longest = self.whole, self.arcs, self.follows, self.longest
-        if (one := whole.get(word)) is not None:
+        """The labels of the accepted path that spells the word."""
+        if (one := self.whole.get(word)) is not None:
             return (one,)
-        n, at, size, last, taken, dead = len(word), 0, min(len(word), longest), -1, [], ()
-        while at < n:
-            while size:
-                token = whole.get(word[at : at + size])
-                if token is not None:
-                    there = True if last < 0 else arcs.get(last << 32 | token)
-                    if there is None:
-                        there = follows(last, token)
-                    if there and at + size not in dead:
-                        break
-                size -= 1
-            if size:
-                taken.append(token)
-                at, last = at + size, token
-                size = min(n - at, longest)
-            else:
-                dead = {*dead, at}
-                size = len(self.label[taken.pop()])
-                at, last = at - size, taken[-1] if taken else -1
-                size -= 1
-        return tuple(taken)
+        steps, fail, ends, shorter, size, known, follows = self.steps.get, self.fail, self.ends, self.shorter, self.size, self.arcs.get, self.follows
+        node, last, at = 0, [-1], 0
+        for byte in word:
+            at += 1
+            while (to := steps(node << 8 | byte)) is None:
+                node = fail[node]
+            node = to
+            token = ends[node]
+            while (before := at - size[token]) > 0:
+                u = last[before]
+                there = known(u << 32 | token)
+                if there is None:
+                    there = follows(u, token)
+                if there:
+                    break
+                token = shorter[token]
+            last.append(token)
+        out = []
+        while at:
+            out.append(last[at])
+            at -= size[last[at]]
+        return tuple(out[::-1])
 
     def pieces(self, text: str) -> Iterator[str]:
         """Parts of the text that are split into words apart: a space between two letters begins a word in any case."""

@@ -68,3 +68,15 @@ def test_odd(odd, none):
     got = {r.doc_id: r for r in bpe.token_digests(odd, PATH).collect()}
     assert got[3].n_tokens == 0 and got[3].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.token_digests(none, PATH).count() == 0
+
+
+def test_long_words(machine, library):
+    """Time is linear in a word, whatever it repeats."""
+    import random
+    import time
+
+    draw = random.Random(0)
+    for text in ("ab" * 500_000, "a" * 1_000_000, "=" * 1_000_000, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))):
+        began = time.time()
+        assert machine.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert time.time() - began < 60
