@@ -1,14 +1,16 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word of a text gets a language. Its features are the word itself (the lexicon), its affixes and its n-grams, hashed
-into FEATURES weights per language; transitions between the languages of neighbouring words are learned with them, by the
+into at most FEATURES weights per language (fewer where there are more than 64 languages, so that WEIGHTS bounds them all); transitions between the languages of neighbouring words are learned with them, by the
 gradient of the log-likelihood. Prediction runs forward-backward over all words of a text and sums the words' marginals, so a
 text that switches languages gets the one of most of its words, and the score is that language's share.
 
-The field is trained on the driver on a bounded sample: about PER_LANGUAGE documents of each of the LANGUAGES commonest languages,
-of at most LONGEST characters each, drawn by a hash of doc_id from the documents that are not held out. Their labels are for whole
-documents, so training sequences splice stretches of different documents, which is what teaches the transitions. Everything
-else runs on all texts, whole.
+The field is trained on the driver on a bounded sample of labelled rows: SAMPLE in all, PER_LANGUAGE of a language at most, drawn by a
+hash of doc_id and text from the documents that are not held out, of every language (if there are more than SAMPLE, of the SAMPLE
+commonest). Of a document longer than LONGEST characters the sample has that many from a hashed place, and of each document up to
+STRETCHES stretches of STRETCH words from all over it. Their labels are for whole documents, so training sequences splice stretches
+of different documents, which is what teaches the transitions. Everything else runs on all texts, whole: a word's features are
+taken from all its letters, however long it is.
 
 Forward-backward is exact for texts of any length: words are laid out in lanes of LANE words over all texts of a batch, each lane's
 transfer matrix is computed by itself, lanes are chained along each text, and the lanes' words are then filled in.
@@ -25,15 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from epochal.llm.common import spread, table
+from epochal.llm.common import spread, table, unused
 
-LANGUAGES, PER_LANGUAGE, LONGEST = 64, 500, 20_000
-FEATURES, LANE, STRETCH, EPOCHS, RATE, DECAY = 1 << 17, 32, 24, 3, 0.2, 1e-6
-REMEMBERED, PIECE = 400_000, 1 << 20
+#: Bounds of the labelled sample.
+SAMPLE, PER_LANGUAGE, LONGEST, STRETCHES, STRETCH = 32_000, 500, 20_000, 20, 24
+FEATURES, WEIGHTS, LANE, EPOCHS, RATE, DECAY = 1 << 17, 1 << 23, 32, 3, 0.2, 1e-6
+#: Words and their characters that a worker remembers, characters of text split at once, and bytes of words hashed at once.
+REMEMBERED, KEPT, PIECE, HASHED = 400_000, 1 << 24, 1 << 20, 1 << 18
 #: The share below which a text is in no language.
 LEAST_SCORE = 0.35
 WORD = regex.compile(r"\p{L}+")
@@ -43,10 +47,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of the words, one word after another, and how many each has. Hashed are the word itself and, of its bytes with
-    its ends marked, all runs of two and three and the runs of four and five at either end."""
-    marked = [f"^{w[:24]}$".encode() for w in words]
+def grams(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    code = np.full(len(at), n, np.uint32)
+    for k in range(n):
+        code = (code ^ data[at + k]) * np.uint32(0x01000193)
+    return code
+
+
+def features(words: list[str], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the words, numbers under count (a power of two), one word after another, and how many each has. Hashed are the
+    word itself and, of its bytes with its ends marked, all runs of two and three and the runs of four and five at either end."""
+    marked = [f"^{w}$".encode() for w in words]
     size = np.array([len(m) for m in marked])
     ends = np.cumsum(size)
     begin, data = ends - size, np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
@@ -58,22 +69,19 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n > 3:
             fits &= (place == begin[owner]) | (left == n)
         at = np.flatnonzero(fits)
-        code = np.full(len(at), n, np.uint32)
-        for k in range(n):
-            code = (code ^ data[at + k]) * np.uint32(0x01000193)
         owners.append(owner[at])
-        codes.append(code)
+        codes.append(grams(data, at, n))
     code, owner = np.concatenate(codes), np.concatenate(owners)
     code = (code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    code = (code ^ code >> np.uint32(12)) & np.uint32(FEATURES - 1)
+    code = (code ^ code >> np.uint32(12)) & np.uint32(count - 1)
     return code[np.argsort(owner, kind="stable")].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
 class Words:
-    """Numbers of words, and their features' weights summed. Holds a bounded number of words."""
+    """Numbers of words, and their features' weights summed. Holds a bounded number of words and characters."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.numbers, self.new = weights, {}, []
+        self.weights, self.numbers, self.new, self.kept = weights, {}, [], 0
         self.scores = np.empty((0, weights.shape[1]), weights.dtype)
 
     def number(self, word: str) -> int:
@@ -94,19 +102,27 @@ class Words:
         return np.concatenate(out) if out else np.empty(0, np.int32)
 
     def emissions(self) -> np.ndarray:
-        for at in range(0, len(self.new), 16384):
-            flat, count = features(self.new[at : at + 16384])
-            self.scores = np.concatenate([self.scores, np.add.reduceat(self.weights[flat], np.cumsum(count) - count)])
-        self.new = []
+        found, part, held = [self.scores], [], 0
+        for word in [*self.new, None]:
+            if part and (word is None or held + len(word) > HASHED):
+                flat, count = features(part, len(self.weights))
+                found.append(np.add.reduceat(self.weights[flat], np.cumsum(count) - count))
+                part, held = [], 0
+            if word is not None:
+                part.append(word)
+                held += len(word)
+        self.kept += sum(map(len, self.new))
+        self.new, self.scores = [], np.concatenate(found)
         return self.scores
 
     def forget(self) -> None:
-        if len(self.numbers) > REMEMBERED:
-            self.numbers, self.scores = {}, self.scores[:0]
+        if len(self.numbers) > REMEMBERED or self.kept > KEPT:
+            self.numbers, self.scores, self.kept = {}, self.scores[:0], 0
 
 
-def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of all words of all texts: scores are the emissions of the texts' words, one text after another, of the given lengths."""
+def forward_backward(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What leads up to each word and its language, what follows, and the weights of emissions and moves, each word's up to a factor.
+    scores are the emissions of the texts' words, one text after another, of the given lengths."""
     n, k = scores.shape
     lengths = lengths[lengths > 0]
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -142,7 +158,7 @@ def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.
 
     # within lanes; the first word of a text has no move into it, and a uniform language before it is as good
     start = np.full((k, k), 1.0 / k)
-    alpha, opening = np.empty((n, k)), nth == 0
+    alpha, beta, opening = np.empty((n, k)), np.empty((n, k)), nth == 0
     for t, live in enumerate(steps):
         if not len(live):
             break
@@ -153,10 +169,32 @@ def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.
     for t in range(LANE - 1, -1, -1):
         live = steps[t]
         if len(live):
-            alpha[begin[live] + t] *= behind[live]
+            beta[begin[live] + t] = behind[live]
             x = (behind[live] * emit[begin[live] + t]) @ move.T
             behind[live] = x / x.sum(axis=1, keepdims=True)
-    return alpha / alpha.sum(axis=1, keepdims=True)
+    return alpha, beta, emit, move
+
+
+def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of all words of all texts."""
+    alpha, beta, _, _ = forward_backward(scores, moves, lengths)
+    both = alpha * beta
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def gradient(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the true languages by scores and by moves: what is observed less what is expected."""
+    alpha, beta, emit, move = forward_backward(scores, moves, lengths)
+    pull = -alpha * beta
+    pull /= -pull.sum(axis=1, keepdims=True)
+    pull[np.arange(len(truth)), truth] += 1
+    inside = np.ones(len(truth), bool)
+    inside[np.cumsum(lengths[lengths > 0]) - 1] = False
+    at = np.flatnonzero(inside)
+    pairs = alpha[at][:, :, None] * move[None] * (emit[at + 1] * beta[at + 1])[:, None, :]
+    push = -(pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    np.add.at(push, (truth[at], truth[at + 1]), 1)
+    return pull, push
 
 
 class Field:
@@ -168,17 +206,23 @@ class Field:
     @staticmethod
     def trained(texts: list[str], labels: list[str], seed: int = 0) -> Field:
         languages = sorted(set(labels))
-        weights, moves = np.zeros((FEATURES, len(languages))), np.zeros((len(languages),) * 2)
+        features_kept = FEATURES
+        while features_kept * len(languages) > WEIGHTS and features_kept > 1 << 12:
+            features_kept >>= 1
+        weights, moves = np.zeros((features_kept, len(languages))), np.zeros((len(languages),) * 2)
         seen, draw = Words(weights), np.random.default_rng(seed)
         stretches, kinds = [], []
         for text, label in zip(texts, labels):
             words = seen.of(text)
-            for at in range(0, min(len(words), 20 * STRETCH), STRETCH):
+            places = np.arange(0, len(words), STRETCH)
+            if len(places) > STRETCHES:
+                places = places[np.linspace(0, len(places) - 1, STRETCHES).astype(int)]
+            for at in places.tolist():
                 stretches.append(words[at : at + STRETCH])
                 kinds.append(languages.index(label))
         if not stretches:
             return Field(languages, weights, moves)
-        flat, count = features(seen.new)
+        flat, count = features(seen.new, features_kept)
         begin = np.append(0, np.cumsum(count))
         grown, moved = np.full(weights.shape, 1e-2), np.full(moves.shape, 1e-2)
         for _ in range(EPOCHS):
@@ -194,23 +238,13 @@ class Field:
                 edge = np.cumsum(count) - count
                 rows = flat[np.repeat(begin[unique] - edge, count) + np.arange(count.sum())]
                 scores = np.add.reduceat(weights[rows], edge)[place]
-                pull = -marginals(scores, moves, lengths)
-                expected = pull.copy()
-                pull[np.arange(len(words)), truth] += 1
+                pull, push = gradient(scores, moves, lengths, truth)
                 by_word = np.stack([np.bincount(place, c, len(unique)) for c in pull.T], axis=1)
                 used, where = np.unique(rows, return_inverse=True)
                 step = np.stack([np.bincount(where, np.repeat(c, count), len(used)) for c in by_word.T], axis=1) / len(part)
                 step -= DECAY * weights[used]
                 grown[used] += step**2
                 weights[used] += RATE * step / np.sqrt(grown[used])
-                # moves: observed less expected, by the marginals of both neighbours given the moves
-                inside = np.ones(len(words) - 1, bool)
-                inside[np.cumsum(lengths)[:-1] - 1] = False
-                a, b = -expected[:-1][inside], -expected[1:][inside]
-                both = a[:, :, None] * np.exp(moves - moves.max())[None] * b[:, None, :]
-                both /= both.sum(axis=(1, 2), keepdims=True)
-                push = -both.sum(axis=0)
-                np.add.at(push, (truth[:-1][inside], truth[1:][inside]), 1)
                 push = push / len(part) - DECAY * moves
                 moved += push**2
                 moves += RATE * push / np.sqrt(moved)
@@ -219,23 +253,33 @@ class Field:
 
 def trained_on(docs: DataFrame) -> Field:
     """The field for the documents that are not held out; see above for the sample's bounds."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()}
     if not counts:
         return Field([], np.zeros((1, 0)), np.zeros((0, 0)))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n))))
+    most = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    names = sorted(counts)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1
+    share = F.get(F.array(*(F.lit(min(1.0, 2 * most / counts[x])) for x in names)), place)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.filter(draw < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").limit(2 * PER_LANGUAGE * len(counts)).collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
+    drawn = known.withColumn("draw", draw).filter((place >= 0) & (F.col("draw") < share))
+    # about twice as many as wanted, so that there are enough; repeated rows share a draw, hence the exact limit
+    size = F.char_length("text")
+    begin = F.when(size > LONGEST, F.pmod(F.xxhash64("text"), size - LONGEST)).otherwise(F.lit(0)) + 1
+    drawn = drawn.select("lang", "draw", "doc_id", F.substring("text", begin.cast("int"), F.lit(LONGEST)).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    rows = drawn.withColumn("nth", nth).filter(F.col("nth") <= most).collect()
+    rows.sort(key=lambda r: (r["lang"], r["nth"]))
     return Field.trained([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 _words: dict[int, Words] = {}  # in a worker: of the field that it last had
 
 
-def labelled(rows: DataFrame, field: Field) -> DataFrame:
-    """rows and two more columns, __lang and __score. rows: any columns, the last of which is the text."""
-    shared = rows.sparkSession.sparkContext.broadcast((field.languages, field.weights, field.moves))  # FEATURES x languages: fixed
+def labelled(rows: DataFrame, field: Field, names: list[str]) -> DataFrame:
+    """rows and two more columns, the language and the score, under these names. rows: any columns, the last of which is the text."""
+    # WEIGHTS numbers at most, whatever the corpus
+    shared = rows.sparkSession.sparkContext.broadcast((field.languages, field.weights, field.moves))
     number = zlib.crc32(field.weights.tobytes()) << 32 | zlib.crc32(field.moves.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,24 +300,25 @@ def labelled(rows: DataFrame, field: Field) -> DataFrame:
                     share = np.add.reduceat(found, (np.cumsum(lengths) - lengths)[some]) / lengths[some][:, None]
                     best[some], score[some] = share.argmax(axis=1), np.minimum(share.max(axis=1), 1.0)
                 seen.forget()
-                names = [languages[i] if i >= 0 else "und" for i in best]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "__lang", "__score"])
+                found = [languages[i] if i >= 0 else "und" for i in best]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], [*part.schema.names, *names])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def predicted(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row."""
-    found = labelled(spread(docs.select("doc_id", "text")), field)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    found = labelled(spread(docs.select("doc_id", "text")), field, ["lang_pred", "score"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without those that have no letter, or in which no language has so large a share. The columns stay; where lang was null
     it is the predicted one."""
-    found = labelled(spread(docs).select(*(c for c in docs.columns if c != "text"), "text"), trained_on(docs))
-    found = found.filter((F.col("__lang") != "und") & (F.col("__score") >= least))
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+    lang, score = unused(docs, "found_lang", "found_score")
+    found = labelled(spread(docs).select(*(c for c in docs.columns if c != "text"), "text"), trained_on(docs), [lang, score])
+    found = found.filter((F.col(lang) != "und") & (F.col(score) >= least))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
 
 
 def identified(docs: DataFrame) -> DataFrame:

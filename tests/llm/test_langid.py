@@ -32,6 +32,62 @@ def test_marginals_are_exact():
         at += n
 
 
+def likelihood(scores, moves, lengths, truth):
+    """Of the true languages, by the forward recursion in logarithms."""
+    out, at = 0.0, 0
+    for n in lengths:
+        s, y = scores[at : at + n], truth[at : at + n]
+        a = s[0]
+        for t in range(1, n):
+            a = s[t] + np.logaddexp.reduce(a[:, None] + moves, axis=0)
+        out += s[np.arange(n), y].sum() + moves[y[:-1], y[1:]].sum() - np.logaddexp.reduce(a)
+        at += n
+    return out
+
+
+def test_gradient_by_finite_differences():
+    draw = np.random.default_rng(1)
+    lengths = np.array([12, 1, 40, 2])
+    scores, moves, truth = draw.normal(size=(55, 3)), draw.normal(size=(3, 3)), draw.integers(0, 3, 55)
+    by_scores, by_moves = langid.gradient(scores, moves, lengths, truth)
+    for array, found in ((scores, by_scores), (moves, by_moves)):
+        for at in np.ndindex(array.shape):
+            kept, sides = array[at], []
+            for step in (1e-5, -1e-5):
+                array[at] = kept + step
+                sides.append(likelihood(scores, moves, lengths, truth))
+            array[at] = kept
+            assert abs((sides[0] - sides[1]) / 2e-5 - found[at]) < 1e-6
+
+
+def test_features_of_whole_words():
+    """Words that differ after many letters, in their suffix or between."""
+    stem = "donaudampfschifffahrtsgesellschaft"
+    sets = [set(langid.features([w], langid.FEATURES)[0].tolist()) for w in (stem + "en", stem + "et", stem)]
+    assert len(sets[0] - sets[1]) >= 4 and len(sets[0] - sets[2]) >= 4
+    one = langid.Words(np.random.default_rng(0).normal(size=(langid.FEATURES, 2)))
+    long = [one.number(w) for w in ("语" * 300_000, stem, "语" * 300_001)]
+    got = one.emissions()[long]
+    flat, count = langid.features([stem], langid.FEATURES)
+    assert np.allclose(got[1], one.weights[flat].sum(axis=0)) and np.abs(got[0] - got[2]).max() > 1e-2
+
+
+def test_every_language_is_learned(spark):
+    """Also the ones of long documents only, and more than 64."""
+    words = {f"l{i}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{'xyz'[k % 3]}{k}q".replace(str(k), chr(97 + k)) for k in range(20)] for i in range(70)}
+    rows = [(i * 10 + j, " ".join(w * (2000 if i == 5 else 3)), name) for i, (name, w) in enumerate(words.items()) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.trained_on(docs).languages == sorted(words)
+
+
+def test_names_that_clash(odd):
+    from pyspark.sql import functions as F
+
+    named = odd.withColumn("found_lang", F.lit("x")).withColumn("__lang", F.lit("y")).withColumn("FOUND_SCORE", F.lit("z"))
+    out = langid.accepted(named)
+    assert out.columns == named.columns and {(r.found_lang, r["__lang"], r.FOUND_SCORE) for r in out.collect()} == {("x", "y", "z")}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
