@@ -8,15 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from epochal.llm.common import materialize
 
 
-def usable(table: DataFrame, zero: bool) -> DataFrame:
-    """rid, vec_id, v (array of double): the rows whose vector is not null, is of the commonest length, and has finite components
-    only; all-zero vectors only if asked for. rid numbers rows, so repeated ids stay apart; it is written, so it stays."""
+def usable(table: DataFrame, zero: bool, scale: float = 1.0) -> DataFrame:
+    """rid, vec_id, v (array of double): the rows whose vector is not null, is of the commonest length, and has components only that
+    are finite, also if multiplied by scale; all-zero vectors only if asked for. rid numbers rows, so repeated ids stay apart; it is
+    written, so it stays."""
     v = F.col("embedding").cast("array<double>")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < F.lit(float("inf"))))
     if not zero:
         fine = fine & F.exists("v", lambda x: x != 0)
     rows = table.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine)
@@ -25,6 +27,12 @@ def usable(table: DataFrame, zero: bool) -> DataFrame:
     return rows.filter(F.size("v") == (common[0] if common else 0))
 
 
+def stored(table: DataFrame) -> str:
+    """How components are kept as bytes without loss: as floats if they are floats, or else as doubles."""
+    element = getattr(table.schema["embedding"].dataType, "elementType", None)
+    return "<f4" if isinstance(element, FloatType) else "<f8"
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as rows of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False)

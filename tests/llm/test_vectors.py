@@ -52,6 +52,62 @@ def test_recall_holds_as_the_table_grows(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_doubles_stay_doubles(spark):
+    draw = np.random.default_rng(5)
+    v = draw.standard_normal((600, 16))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    near = {(q, i): s for q, _, i, s in exact(np.arange(600), v, 20, 20, False)}
+    got = ann.nearest(frame, 20, 20).collect()
+    assert len(got) == 600 and all(abs(r.score - near[r.query_id, r.vec_id]) < 1e-13 for r in got if (r.query_id, r.vec_id) in near)
+
+
+def test_ties_beyond_a_block(spark):
+    """More equal vectors than a block or the reach holds: any of them are nearest, by id where they are seen."""
+    same = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(900)] + [(i, [-1.0, 0.0]) for i in range(900, 1000)], "vec_id long, embedding array<float>")
+    got = ann.nearest(same, 20, 300, block=64).collect()
+    assert all(r.vec_id < 900 and abs(r.score - 1) < 1e-6 for r in got if r.query_id < 900) and len(got) == 80
+    order = sorted(got, key=lambda r: (r.query_id, r.rank))
+    assert all(a.vec_id < b.vec_id for a, b in zip(order, order[1:]) if a.query_id == b.query_id < 900 and a.score == b.score)
+
+
+def whole_numbers(v, step, k):
+    """By Python's integers; scores beyond a long count as the largest or smallest."""
+    most = (1 << 63) - 1
+    q = [[int(np.floor(256 * np.float64(x))) for x in row] for row in v]
+    out = []
+    for a in range(0, len(q), step):
+        scored = sorted((-min(max(sum(x * y for x, y in zip(q[a], q[b])), -most - 1), most), b) for b in range(len(q)) if b != a)
+        out += [(a, r + 1, b, -s) for r, (s, b) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1.0, 9e5, 3e6])
+def test_exact_with_large_components(spark, size):
+    draw = np.random.default_rng(6)
+    v = draw.uniform(-size, size, (1200, 20)).astype(np.float32)
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(frame, 5, 50).collect())) == whole_numbers(v, 50, 5)
+
+
+def test_scores_beyond_a_long(spark):
+    v = np.array([[1e30, 0.0], [1e30, 1.0], [-1e30, 0.0], [1.0, 1.0], [0.0, 2.0]])
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame, 4, 2).collect())) == whole_numbers(v, 2, 4)
+
+
+def test_annuli_are_skipped(spark):
+    """Where vectors form clusters, most annuli are never expanded, and the result is the same."""
+    draw = np.random.default_rng(7)
+    centres = draw.standard_normal((40, 16)) * 10
+    v = (centres[draw.integers(0, 40, 8000)] + draw.standard_normal((8000, 16)) * 0.1).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    report = {}
+    got = sorted(map(tuple, topk.top_k(frame, 5, 200, report).collect()))
+    assert got == exact(np.arange(8000), np.floor(256 * v.astype(float)), 200, 5, True)
+    assert report["expanded"] < 0.5 * report["pairs"]
+
+
 def test_blocks_in_reach(spark):
     """Blocks within reach rows of a block with queries, once each, three to a part."""
     draw, rows, begin = np.random.default_rng(4), [], 0
