@@ -2,13 +2,15 @@
 
 Vectors are projected at random to a few dimensions, shifted and quantised, and get a key along a Hilbert curve; several
 projections and shifts give several orderings. Spark range-partitions each ordering by key and cuts it into blocks of neighbours.
-A query looks into its own block and all that lie within its reach on either side of every curve; the blocks' best candidates
-merge and are ranked by the exact inner product.
+A query looks at the rows within its reach on either side of it on every curve, in its own block and those beside it; the blocks'
+best candidates merge and are ranked by the exact inner product.
 
 The scales of the quantisation are fit on a bounded sample (SAMPLE rows); every row is indexed. Recall is measured against brute
 force in the tests. Isotropic vectors of many dimensions have no short cut, so the reach is a share (REACH) of the counted rows, and
-at least a block: recall holds as the table grows, and work grows with queries times rows, as in brute force. What a task holds
-at once is bounded: blocks grow with the reach up to LARGEST rows, beyond which more blocks are in reach.
+at least BLOCK: recall holds as the table grows, and work grows with queries times rows, as in brute force, but many narrow curves
+see less than few wide ones for the same recall: 0.8 of the rows over all curves, repeats included. What a task holds at once is
+bounded: blocks are twice as wide as the reach, up to LARGEST rows, beyond which more blocks are in reach. Components keep their
+precision: bytes of floats where the column has floats, of doubles otherwise.
 
 Defined cases: vectors that are null, zero, of another length than the commonest, or with null or non-finite components take no
 part; repeated ids are rows of their own; with fewer candidates than k all found are returned; an empty table gives an empty result.
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochal.llm.common import materialize, table
-from epochal.llm.vectors import best, matrix, runs, sample, usable
+from epochal.llm.vectors import best, matrix, runs, sample, stored, usable
 
-CURVES, DIMS, BITS, BLOCK, SAMPLE = 16, 5, 8, 2048, 8192
-#: Of the table's rows, the share that a query sees on either side of its block on a curve; the most rows of a block; query blocks
-#: beside a block in one row, and scores that a task computes at once.
-REACH, LARGEST, ASKS, SCORES = 0.04, 16384, 3, 1 << 21
+CURVES, DIMS, BITS, BLOCK, SAMPLE = 32, 10, 6, 256, 8192
+#: Of the table's rows, the share that a query sees on either side of it on a curve; the least and most rows of a block; query blocks
+#: beside a block in one row, and queries scored at once.
+REACH, SMALLEST, LARGEST, ASKS, TOGETHER = 0.0125, 1024, 16384, 3, 16
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,15 +84,15 @@ class Curves:
         return hilbert(np.clip(np.floor(at * (1 << BITS)), 0, (1 << BITS) - 1))
 
 
-def blocks(rows: DataFrame, curves: Curves, block: int, query_step: int) -> DataFrame:
-    """curve, at, begin, end, rids, ids, v and the same of the queries among them (q_rids, q_ids, q_v): a row per block, which has the
-    rows from begin to end of its curve."""
+def blocks(rows: DataFrame, curves: Curves, block: int, query_step: int, kind: str) -> DataFrame:
+    """curve, at, begin, end, rids, ids, v and the same of the queries among them (q_places in the block, q_rids, q_ids,
+    q_v): a row per block, which has the rows from begin to end of its curve."""
     spark, count = rows.sparkSession, len(curves.maps)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(2))
-            packed = pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())
+            packed = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
             if len(v):
                 for k in range(count):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(curves.keys(v, k)), batch.column(0), batch.column(1), packed], ["curve", "key", "rid", "vec_id", "v"])
@@ -100,13 +102,13 @@ def blocks(rows: DataFrame, curves: Curves, block: int, query_step: int) -> Data
         for seq, (curve, key, rid, vec_id, v) in enumerate(runs(batches, 0, block)):
             rids, ids, flat = rid.to_numpy(), vec_id.to_numpy(), v.to_pylist()
             asks = np.flatnonzero(ids % query_step == 0)
-            made = [curve[0].as_py(), key[0].as_py(), part << 32 | seq, rids.tobytes(), ids.tobytes(), b"".join(flat), rids[asks].tobytes(), ids[asks].tobytes(), b"".join(flat[i] for i in asks), len(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) if k not in (0,) else pa.array([x], pa.int32()) for k, x in enumerate(made)], ["curve", "key", "at", "rids", "ids", "v", "q_rids", "q_ids", "q_v", "size"])
+            made = [curve[0].as_py(), key[0].as_py(), part << 32 | seq, rids.tobytes(), ids.tobytes(), b"".join(flat), asks.tobytes(), rids[asks].tobytes(), ids[asks].tobytes(), b"".join(flat[i] for i in asks), len(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) if k not in (0,) else pa.array([x], pa.int32()) for k, x in enumerate(made)], ["curve", "key", "at", "rids", "ids", "v", "q_places", "q_rids", "q_ids", "q_v", "size"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.select("rid", "vec_id", "v").mapInArrow(keyed, "curve int, key bigint, rid bigint, vec_id bigint, v binary")
     sorted_ = spread.repartitionByRange(n, "curve", "key", F.xxhash64("rid")).sortWithinPartitions("curve", "key", F.xxhash64("rid"))
-    made = sorted_.mapInArrow(cut, "curve int, key bigint, at bigint, rids binary, ids binary, v binary, q_rids binary, q_ids binary, q_v binary, size bigint")
+    made = sorted_.mapInArrow(cut, "curve int, key bigint, at bigint, rids binary, ids binary, v binary, q_places binary, q_rids binary, q_ids binary, q_v binary, size bigint")
     made = materialize(made, "curves")
     order = Window.partitionBy("curve").orderBy("at")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -131,31 +133,37 @@ def beside(cut: DataFrame, reach: int) -> DataFrame:
 FOUND = "q_rid bigint, query_id bigint, rid bigint, vec_id bigint, score double"
 
 
-def reranked(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each block for each query beside it. pairs: rids, ids, v, asks (array of q_rids, q_ids, q_v)."""
+def reranked(pairs: DataFrame, k: int, kind: str, reach: int) -> DataFrame:
+    """The k best of each block's rows within reach of each query beside it. pairs: begin, rids, ids, v, asks (array of q_begin, q_places,
+    q_rids, q_ids, q_v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*batch.columns):
-                rids, ids, v = (np.frombuffer(x.as_py(), t) for x, t in zip(row, ("<i8", "<i8", "<f4")))
+                begin = row[0].as_py()
+                rids, ids, v = (np.frombuffer(x.as_py(), t) for x, t in zip(row[1:], ("<i8", "<i8", kind)))
                 v = v.reshape(len(ids), -1).astype(np.float64)
-                for ask in row[3].as_py():
-                    q_rids, q_ids, q_v = (np.frombuffer(ask[c], t) for c, t in (("q_rids", "<i8"), ("q_ids", "<i8"), ("q_v", "<f4")))
+                out = []
+                for ask in row[4].as_py():
+                    places, q_rids, q_ids, q_v = (np.frombuffer(ask[c], t) for c, t in (("q_places", "<i8"), ("q_rids", "<i8"), ("q_ids", "<i8"), ("q_v", kind)))
                     q_v = q_v.reshape(len(q_ids), -1).astype(np.float64)
-                    out, step = [], max(1, SCORES // len(ids))
-                    for i in range(len(q_ids)):
-                        if i % step == 0:
-                            scores = q_v[i : i + step] @ v.T
-                            scores[q_rids[i : i + step, None] == rids[None, :]] = -np.inf
-                        near = best(scores[i % step], ids, k, 1e-9)
-                        near = near[rids[near] != q_rids[i]]
-                        exact = (v[near] * q_v[i]).sum(axis=1)
-                        top = np.lexsort((ids[near], -exact))[:k]
-                        near, exact = near[top], exact[top]
-                        out.append((np.full(len(near), q_rids[i]), np.full(len(near), q_ids[i]), rids[near], ids[near], exact))
+                    low = np.clip(ask["q_begin"] - begin + places - reach, 0, len(ids))
+                    high = np.clip(ask["q_begin"] - begin + places + reach + 1, 0, len(ids))
+                    for at in range(0, len(q_ids), TOGETHER):  # in the order of their places, so their windows overlap
+                        first, last = low[at], high[at : at + TOGETHER][-1]
+                        scores = q_v[at : at + TOGETHER] @ v[first:last].T
+                        for i, s in enumerate(scores, at):
+                            seen = np.arange(low[i], high[i])
+                            seen = seen[rids[low[i] : high[i]] != q_rids[i]]
+                            near = seen[best(s[seen - first], ids[seen], k, 1e-9)]
+                            exact = (v[near] * q_v[i]).sum(axis=1)
+                            top = np.lexsort((ids[near], -exact))[:k]
+                            near, exact = near[top], exact[top]
+                            out.append((np.full(len(near), q_rids[i]), np.full(len(near), q_ids[i]), rids[near], ids[near], exact))
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q_rid", "query_id", "rid", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, FOUND)
+    return pairs.select("begin", "rids", "ids", "v", "asks").mapInArrow(run, FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -166,19 +174,20 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int, query_step: int, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score. Queries are the rows whose vec_id is divisible by query_step. block: the least rows of a block and
-    of the reach."""
+    """query_id, rank, vec_id, score. Queries are the rows whose vec_id is divisible by query_step. block: the least reach, in
+    rows."""
     spark = vectors.sparkSession
     rows = usable(vectors, zero=False)
     fit = sample(rows, SAMPLE)
     if not len(fit):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    reach = max(block, math.ceil(REACH * rows.count()))
-    cut = blocks(rows.withColumn("vec_id", F.col("vec_id").cast("bigint")), Curves(fit, curves), max(block, min(reach, LARGEST)), query_step)
-    asks = cut.select("curve", F.col("at").alias("q_at"), F.struct("q_rids", "q_ids", "q_v").alias("ask"))
+    reach, kind = max(block, math.ceil(REACH * rows.count())), stored(vectors)
+    size = min(max(block, SMALLEST, 2 * reach), LARGEST)
+    cut = blocks(rows.withColumn("vec_id", F.col("vec_id").cast("bigint")), Curves(fit, curves), size, query_step, kind)
+    asks = cut.select("curve", F.col("at").alias("q_at"), F.struct(F.col("begin").alias("q_begin"), "q_places", "q_rids", "q_ids", "q_v").alias("ask"))
     asks = beside(cut, reach).join(asks, ["curve", "q_at"]).groupBy("curve", "at", "part").agg(F.collect_list("ask").alias("asks"))
-    pairs = cut.select("curve", "at", "rids", "ids", "v").join(asks, ["curve", "at"]).select("rids", "ids", "v", "asks")
-    return ranked(reranked(pairs, k), k)
+    pairs = cut.select("curve", "at", "begin", "rids", "ids", "v").join(asks, ["curve", "at"])
+    return ranked(reranked(pairs, k, kind, reach), k)
 
 
 def op2_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
