@@ -1,35 +1,42 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-Two fingerprints within 4 bits of each other differ by at most one bit in one of three blocks (21, 21 and 22 bits). Each block has
-a covering code of radius 1: a perfect Hamming code over its first 15 bits, and every value of the rest. A fingerprint's home is
-the codeword nearest to it; a fingerprint goes to every codeword within covering radius plus threshold, 1 + 1 bits. So for two
-linked fingerprints some block's home of the one is an anchor of the other, and comparing homes with all others at each anchor
-finds every link. Equal fingerprints are one node. Each task reduces the links it finds to stars before it emits them, and
-components come from alternating star contractions, whose edges never leave the cluster.
-
-An anchor with more fingerprints than CELL is set aside and dealt as cells (part of the homes, part of all), so no task holds more
-than CELL rows of an anchor or compares them with more than as many.
+Two fingerprints within 4 bits of each other differ by at most 1 bit in one of three blocks (21, 21 and 22 bits), and by at most 2
+in one of two blocks of 32. Each block has a covering code of radius 1: a perfect Hamming code over its first bits, and every value of
+the rest. A fingerprint's home is the codeword nearest to it; a fingerprint goes to every codeword within covering radius plus
+threshold, 1 + 1 or 1 + 2 bits. So for two linked fingerprints some block's home of the one is an anchor of the other, and comparing
+homes with all others at each anchor finds every link. Equal fingerprints are one node. Each task reduces the links it finds to stars
+before it emits them, and components come from alternating star contractions, whose edges never leave the cluster.
+
+Three blocks make 45 copies of a fingerprint and have 2**17 or 2**18 anchors each, two blocks some 340 and 2**27. Comparisons at an anchor
+grow with the square of its rows, so beyond MANY fingerprints, where they would outweigh the copies, the two longer blocks are
+used; the links are the same. An anchor with more fingerprints than CELL is set aside and dealt as cells (part of the homes, part of
+all), so no task holds more than CELL rows of an anchor or compares them with more than as many. The rows of one fingerprint, root or
+star centre are dealt over SALTS parts wherever they are joined.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a null doc_id never is a component's id
-unless all its documents have none (then null); repeated rows are rows of their own; an empty table gives an empty result.
+unless all its documents have none (then null); repeated rows are rows of their own; an empty table gives an empty result. Of rows that could each be
+the one kept, it is the one with the least id, then hash of the text, then hash of all columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from epochal.llm.common import discard, materialize, spread, table
+from epochal.llm.common import discard, materialize, spread, table, unused
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
-#: First bit and length of each block; its first CODED bits carry the Hamming code.
-BLOCKS, CODED = ((0, 21), (21, 21), (42, 22)), 15
-CELL = 4096
+#: First bits and lengths of the blocks, how many of a block's first bits carry the Hamming code, and how far a fingerprint goes.
+THREE, TWO = (((0, 21), (21, 21), (42, 22)), 15, 2), (((0, 32), (32, 32)), 31, 3)
+MANY, CELL, SALTS = 1 << 28, 4096, 32
 #: Fingerprints compared at once, in pairs.
 PAIRS = 1 << 21
 
@@ -51,61 +58,72 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), fp (signed)."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and fp (signed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "digest", "fp"])
+            fps = np.array([fingerprint(x.as_py()) for x in batch.columns[-1]], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], [*keep, "fp"])
+
+    rows = docs.select(*keep, "text")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("fp", LongType())]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return spread(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint")
 
+def syndromes(words: np.ndarray, coded: int = THREE[1]) -> np.ndarray:
+    """The XOR of the places, from 1, of the set bits among the coded ones; zero for codewords."""
+    out = np.zeros_like(words)
+    for bit in range(coded):
+        out ^= np.where(words >> np.uint64(bit) & np.uint64(1), np.uint64(bit + 1), np.uint64(0))
+    return out
 
-def nearest_codeword(words: np.ndarray) -> np.ndarray:
-    """Of a perfect Hamming code: the syndrome, the XOR of the places of set bits, is the place of the bit to flip."""
-    syndrome = np.zeros_like(words)
-    for bit in range(CODED):
-        syndrome ^= np.where(words >> np.uint64(bit) & np.uint64(1), np.uint64(bit + 1), np.uint64(0))
+
+def nearest_codeword(words: np.ndarray, coded: int = THREE[1]) -> np.ndarray:
+    """Of a perfect Hamming code: the syndrome is the place of the bit to flip."""
+    syndrome = syndromes(words, coded)
     flip = np.where(syndrome > 0, np.uint64(1) << (np.maximum(syndrome, np.uint64(1)) - np.uint64(1)), np.uint64(0))
     return words ^ flip
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, fingerprint, and whether the anchor is its home: for every codeword within 1 + 1 bits, each once."""
+@lru_cache(maxsize=None)
+def flips(length: int, coded: int, most: int) -> list[np.ndarray]:
+    """By syndrome: the sets of at most so many bits that turn a block with that syndrome into a codeword, the nearest first."""
+    out = [[] for _ in range(coded + 1)]
+    for n in range(most + 1):
+        for bits in combinations(range(length), n):
+            syndrome = 0
+            for bit in bits:
+                syndrome ^= bit + 1 if bit < coded else 0
+            out[syndrome].append(sum(1 << bit for bit in bits))
+    return [np.array(x, dtype=np.uint64) for x in out]
+
+
+def anchors(fps: np.ndarray, scheme: tuple = THREE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, fingerprint, and whether the anchor is its home: for every codeword near enough."""
+    blocks, coded, most = scheme
     keys, rows, homes = [], [], []
-    one, index = np.uint64(1), np.arange(len(fps))
-    for number, (low, length) in enumerate(BLOCKS):
+    for number, (low, length) in enumerate(blocks):
         block = fps >> np.uint64(low) & np.uint64((1 << length) - 1)
-        home = nearest_codeword(block & np.uint64((1 << CODED) - 1)) | block >> np.uint64(CODED) << np.uint64(CODED)
-        found = [home]
-        for i in range(length):
-            once = block ^ one << np.uint64(i)
-            low_once = once & np.uint64((1 << CODED) - 1)
-            found.append(nearest_codeword(low_once) | once >> np.uint64(CODED) << np.uint64(CODED))
-            if i >= CODED:
-                for j in range(CODED, i):
-                    found.append(found[0] ^ one << np.uint64(i) ^ one << np.uint64(j))
-        for k, key in enumerate(found):
-            near = np.bitwise_count(key ^ block) <= 2
-            for earlier in found[:k]:
-                near &= key != earlier
-            keys.append((key[near] | np.uint64(number << 22)).view(np.int64))
-            rows.append(index[near])
-            homes.append(np.full(int(near.sum()), k == 0))
-    at = np.concatenate(rows)
-    return np.concatenate(keys), fps.view(np.int64)[at], np.concatenate(homes)
-
-
-def anchored(nodes: DataFrame) -> DataFrame:
+        syndrome = syndromes(block, coded)
+        for k, masks in enumerate(flips(length, coded, most)):
+            at = np.flatnonzero(syndrome == k)
+            key = block[at][:, None] ^ masks[None, :] | np.uint64(number << 34)
+            home = np.zeros(key.shape, bool)
+            home[:, 0] = True  # of the least flips there is one only
+            keys.append(key.ravel().view(np.int64))
+            rows.append(np.repeat(at, len(masks)))
+            homes.append(home.ravel())
+    return np.concatenate(keys), fps.view(np.int64)[np.concatenate(rows)], np.concatenate(homes)
+
+
+def anchored(nodes: DataFrame, scheme: tuple = THREE) -> DataFrame:
     """anchor, fp, home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in anchors(fps[at : at + 4096])], ["anchor", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in anchors(fps[at : at + 4096], scheme)], ["anchor", "fp", "home"])
 
     return nodes.select("fp").mapInArrow(run, "anchor bigint, fp bigint, home boolean")
 
@@ -204,12 +222,12 @@ def compared(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.mapInArrow(run, FOUND)
 
 
-def found_links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
+def found_links(nodes: DataFrame, cell: int = CELL, many: int = MANY) -> DataFrame:
     """a, b: links between fingerprints, enough of them to connect what is connected."""
     spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # nodes are few bytes, which would be put into few tasks, but each makes some 45 rows
-    at_anchor = anchored(nodes.select("fp").repartition(n, F.xxhash64("fp"))).repartition(n, "anchor").sortWithinPartitions("anchor")
+    n, scheme = int(spark.conf.get("spark.sql.shuffle.partitions")), THREE if nodes.count() <= many else TWO
+    # nodes are few bytes, which would be put into few tasks, but each makes many rows
+    at_anchor = anchored(nodes.select("fp").repartition(n, F.xxhash64("fp")), scheme).repartition(n, "anchor").sortWithinPartitions("anchor")
     found = materialize(compared(at_anchor, cell), "simhash")
     links = found.filter("anchor is null").select("a", "b")
     rest = found.filter("anchor is not null").select("anchor", F.col("a").alias("fp"), "home")
@@ -223,17 +241,24 @@ def found_links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     return links.unionByName(compared(cells, None).select("a", "b")).distinct()
 
 
+def with_least(rows: DataFrame, key: str, value: str, deal: str, out: str) -> DataFrame:
+    """rows and out, the least value of all with the same key. The rows of a key are dealt over SALTS parts by a hash of the column
+    deal, so none is joined in one task, and only keys with many rows have many parts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
+    least = parts.groupBy(key).agg(F.min("least").alias(out))
+    return salted.join(parts.select(key, "salt").join(least, key), [key, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: for every node with a link, the least node that it reaches. Alternating large-star and small-star steps; a
     step's links are written to the shared folder, so lineage stays short."""
     links, before = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links"), None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        large = with_least(both, "a", "b", "b", "m").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+        # a node's own link to its least stands for (a, m)
+        small = with_least(large, "a", "b", "b", "m").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         last, links = links, materialize(small, "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(last)
@@ -242,29 +267,31 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, fp, root (the component's least fingerprint), component_id: one row per input row."""
-    rows = materialize(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def joined(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns (doc_id among them), fp, root (the component's least fingerprint), component_id: one row per input row."""
+    rows = materialize(fingerprints(docs, *keep), "fingerprints").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
+    nodes = materialize(parts.groupBy("fp").agg(F.min("least").alias("least")), "nodes")
     roots = components(found_links(nodes))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    named = with_least(named, "root", "least", "fp", "component_id").select("fp", "root", "component_id")
+    return rows.join(parts.select("fp", "salt").join(named, "fp"), ["fp", "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id of the component): one row per input row."""
-    return joined(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return joined(spread(docs), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, of each component only one row: that with the smallest id (rows without an id only where there is no other), then with
-    the smallest digest of its text. The columns stay."""
-    first = joined(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    first = first.select(name(F.col("m.doc_id")).alias("__id"), F.col("m.digest").alias("__digest")).hint("merge")
-    named = docs.withColumn("__id", name(F.col("doc_id"))).withColumn("__digest", F.xxhash64("text"))
-    return named.join(first, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(docs.columns)
+    """docs, of each component only one row: that with the smallest id (rows without an id only where there is no other), as said
+    above. The columns stay. Rows are numbered and written once, and the numbers of those that stay are joined."""
+    (number,) = unused(docs, "number")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    of_text = spread(numbered.select("doc_id", F.xxhash64("text").alias("digest"), F.xxhash64(*docs.columns).alias("all"), F.col(number).alias("number"), "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "all", "number"))
+    first = joined(of_text, "doc_id", "digest", "all", "number").groupBy("root").agg(least["number"].alias(number))
+    return numbered.join(first.select(number).hint("merge"), number, "left_semi").select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

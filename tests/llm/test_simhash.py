@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -56,8 +57,8 @@ def test_links_and_cells(spark):
     fps = family(np.random.default_rng(5), 1500)
     want = components([(k, x) for k, x in enumerate(fps)])
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    for cell in (8, 4096):  # small cells set nearly all anchors aside
-        roots = {r.node: r.root for r in simhash.components(simhash.found_links(nodes, cell)).collect()}
+    for cell, many in ((8, 4096), (4096, 4096), (4096, 0)):  # small cells set nearly all anchors aside; 0: two blocks
+        roots = {r.node: r.root for r in simhash.components(simhash.found_links(nodes, cell, many)).collect()}
         signed = [int(np.uint64(x).view(np.int64)) for x in fps]
         label = [roots.get(x, x) for x in signed]
         groups, expected = {}, {}
@@ -91,3 +92,42 @@ def test_odd(odd, none):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 5), (False, 6), (False, 9), (False, 10), (False, 11), (True, None)]
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_two_blocks_are_complete():
+    fp = np.random.default_rng(2).integers(0, 2**63, 1, dtype=np.uint64)
+    keys, _, home = simhash.anchors(fp, simhash.TWO)
+    low = [k for k in keys.tolist() if k < 1 << 32]
+    assert len(low) == len(set(low)) and home.sum() == 2
+    block = int(fp[0]) & (1 << 32) - 1
+    near = np.array(low, dtype=np.uint64)
+    assert (np.bitwise_count(near ^ np.uint64(block)) <= 3).all() and not simhash.syndromes(near, 31).any()
+    every = [block ^ sum(1 << b for b in bits) for n in range(4) for bits in itertools.combinations(range(32), n)]
+    assert set(low) == {c for c in every if not simhash.syndromes(np.array([c], dtype=np.uint64), 31)[0]}
+
+
+def test_comparisons_grow_with_the_fingerprints():
+    """Pairs compared at anchors, in all: with two blocks nearly in proportion, with three by the square."""
+    draw = np.random.default_rng(3)
+    pairs = {}
+    for scheme in (simhash.THREE, simhash.TWO):
+        for n in (4000, 16000):
+            key, _, home = simhash.anchors(draw.integers(0, 2**63, n, dtype=np.uint64), scheme)
+            _, at = np.unique(key, return_inverse=True)
+            pairs[scheme, n] = int((np.bincount(at)[at[home]] - 1).sum())
+    assert pairs[simhash.TWO, 16000] < pairs[simhash.THREE, 16000] / 50
+
+
+def test_one_star_and_a_chain(spark):
+    links = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)]
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(roots.get(i, i) == 0 for i in range(3000)) and all(roots.get(i, i) == 5000 for i in range(5000, 5201))
+
+
+def test_which_row_stays(spark, odd):
+    from pyspark.sql import functions as F
+
+    rows = [("p", 2, "one text of five words"), ("q", 2, "one text of five words"), ("p", 2, "one text of five words"), ("r", None, "one text of five words")]
+    docs = spark.createDataFrame(rows, "number string, doc_id long, text string")
+    kept = [simhash.deduplicated(x).collect() for x in (docs, docs.repartition(3), docs.orderBy(F.desc("number")))]
+    assert all(len(k) == 1 and k[0] == kept[0][0] for k in kept) and kept[0][0].number in ("p", "q")
