@@ -2,10 +2,15 @@
 
 A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings made one, every run of other
 characters than letters and digits one space. Its digest is hash-joined to the digests of known licence texts. The join is on
-entire texts: a licence with anything beside it but copyright lines is another text.
+entire texts: a licence with anything beside it but copyright lines is another text, so a licence under one of its usual titles is
+known as a text of its own. Where a licence begins on the line of a copyright notice, only the notice before it goes.
 
-Defined cases: a null or empty text has the digest of the empty string and no licence; an empty table gives an empty result; two
-known texts with one canonical form count as the first by name.
+The built-in catalogue holds short licences and notices. Longer ones (or any others) come from a folder of text files, each named by
+its licence: see known().
+
+Defined cases: a null or empty text has the digest of the empty string and no licence; repeated rows and ids are rows of their own;
+texts of any length count whole; other columns of the documents play no part; an empty table gives an empty result; two known texts
+with one canonical form count as the first by name.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ SPELLINGS = {
 }
 #: Lines that begin with a notice, not those that a wrapped sentence on copyright begins.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]|by |year|yyyy)|\(c\)[^a-z\n]*[0-9]|©|all rights reserved)[^\n]*"
+#: Words with which a licence begins, also behind a copyright notice on one line.
+OPENING = r"[.,;:]?[ \t]+(permission is hereby granted|permission to use|redistribution and use in|this is free and unencumbered|this software is provided|licensed under the|released under the)"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Public licence texts by SPDX name.
 KNOWN = {
@@ -79,6 +86,16 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+#: Titles above whole texts.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+}
 #: The notices by which a work commonly names its licence.
 NOTICES = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -90,6 +107,7 @@ NOTICES = {
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.regexp_replace(out, F.lit(OPENING), F.lit("\n$1"))
     out = F.regexp_replace(out, F.lit(COPYRIGHT_LINE), F.lit("\n"))
     out = F.trim(F.regexp_replace(out, F.lit(OTHER), F.lit(" ")))
     for a, b in SPELLINGS.items():
@@ -101,9 +119,19 @@ def digests(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """license, digest, one row per digest. The built-in texts; callers may union their own (license, text) rows first."""
-    texts = spark.createDataFrame(sorted((KNOWN | NOTICES).items()), "license string, text string")
+def catalogue() -> list[tuple[str, str]]:
+    """licence and text: whole texts, plain and under each title, and notices."""
+    plain = [*KNOWN.items(), *NOTICES.items()]
+    return sorted(plain + [(name, f"{title}\n\n{KNOWN[name]}") for name, titles in TITLES.items() for title in titles])
+
+
+def known(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """license, digest, one row per digest. The built-in texts, and those of a folder's files, named by their licences, such as
+    Apache-2.0.txt."""
+    texts = spark.createDataFrame(catalogue(), "license string, text string")
+    if folder:
+        name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.(txt|md)$", "")
+        texts = texts.unionByName(spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("license"), F.col("value").alias("text")))
     return digests(texts, "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -120,13 +148,14 @@ def op9_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        out = f"regexp_replace(lower(coalesce({x}, '')), {quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+        out = f"regexp_replace(lower(coalesce({x}, '')), {quoted(OPENING)}, chr(10) || '\\1', 'g')"
+        out = f"regexp_replace({out}, {quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
         out = f"trim(regexp_replace({out}, {quoted(OTHER)}, ' ', 'g'))"
         for a, b in SPELLINGS.items():
             out = f"replace({out}, {quoted(a)}, {quoted(b)})"
         return f"sha256({out})"
 
-    rows = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in sorted((KNOWN | NOTICES).items()))
+    rows = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in catalogue())
     return (
         f"WITH texts(license, text) AS (VALUES {rows}), known AS (SELECT {form('text')} AS digest, min(license) AS license FROM texts GROUP BY 1), "
         f"scanned AS (SELECT doc_id, {form('text')} AS digest FROM documents) "

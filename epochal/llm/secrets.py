@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm.common import materialize, spread, table
+from epochal.llm.common import materialize, spread, table, unused
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -138,8 +138,11 @@ def secret_spans(docs: DataFrame, owner: str, repository: str) -> DataFrame:
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """docs with every live value in its own text replaced by the mark, those that overlap by one; columns and rows stay, n_chars
-    follows if there is one."""
-    live = live_spans(scanned(docs, owner, repository)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value").alias("__live"))
+    follows if there is one. Rows are numbered and written once, and the values of a row are joined by its number."""
+    number, values = unused(docs, "number", "values")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    base = scanned(numbered.select(F.col(number).alias("doc_id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), "text"), "owner", "repository")
+    live = live_spans(base).groupBy(F.col("doc_id").alias(number)).agg(F.collect_set("value").alias(values))
 
     def row(*values) -> tuple:
         live, text = values[-2:]
@@ -153,9 +156,9 @@ def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
                 at = max(at, b)
         return ("".join([*out, text[at:]]),)
 
-    marked = docs.join(live.hint("merge"), docs.doc_id.eqNullSafe(F.col("__id")), "left")
+    marked = numbered.join(live.hint("merge"), number, "left")
     rest = [c for c in docs.columns if c != "text"]
-    out = mapped(marked.select(*rest, "__live", "text"), "text string", row).drop("__live")
+    out = mapped(marked.select(*rest, values, "text"), "text string", row).drop(values)
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(docs.columns)

@@ -75,3 +75,40 @@ def test_odd(odd, none):
     assert (by[9].n_assign, by[9].n_access, by[9].n_hex) == (2, 1, 1)
     assert secrets.redacted(odd).columns == odd.columns and secrets.redacted(odd).count() == odd.count()
     assert secrets.secret_spans(none, "source", "doc_id").count() == 0
+
+
+def test_live_spans_of_a_whole_table(spark):
+    """By counting owners and repositories of every value in plain Python."""
+    import math
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, owners, repositories, values = docs.collect(), defaultdict(set), defaultdict(set), {}
+    for r in rows:
+        text, found = r.text or "", set()
+        for a, kind, b in base(text):
+            if kind == 0:
+                m = FULL["assign"].match(text, a)
+                a, b = m.start(2), m.end(2)
+            found.add((a, b))
+        values[r.doc_id] = {(a, b, text[a:b]) for a, b in found}
+        for *_, v in values[r.doc_id]:
+            owners[v].add(r.source)
+            repositories[v].add((r.source, r.doc_id))
+
+    def live(v):
+        bits = -sum(k / len(v) * math.log2(k / len(v)) for k in Counter(v).values())
+        fake = re.search(r"example|sample|change_?me|your|dummy|placeholder|test|xxxx|1234567|(.)\1{5}", v, re.I)
+        return len(v) >= 16 and bits >= 3 and not fake and len(owners[v]) < 3 and len(repositories[v]) < 10
+
+    want = {i: sorted(f"live:{a}:{b}" for a, b, v in vs if live(v)) for i, vs in values.items()}
+    got = {r.doc_id: sorted(x for x in r.spans.split(",") if x.startswith("live")) for r in secrets.secret_spans(docs, "source", "doc_id").collect()}
+    assert got == want and sum(map(len, want.values())) > 0
+
+
+def test_names_that_clash(spark, odd):
+    from pyspark.sql import functions as F
+
+    named = odd.withColumn("number", F.lit("x")).withColumn("__id", F.lit("y")).withColumn("VALUES", F.lit("z"))
+    out = secrets.redacted(named)
+    assert out.columns == named.columns and {(r.number, r["__id"], r.VALUES) for r in out.collect()} == {("x", "y", "z")}
