@@ -1,4 +1,13 @@
-"""The corpus pipeline: language ID, near-duplicates, secrets, mixing, tokens. Counted as part of the llm subpackage."""
+"""The corpus pipeline: language ID, near-duplicates, secrets, mixing, tokens. Counted as part of the llm subpackage.
+
+Each stage is written to the shared folder and read again by the next; what a stage wrote on its way, and what the stage before
+it gave, is deleted once it is done.
+
+Defined cases: null and empty texts are in no language and go in the first stage, as do texts without a letter; texts of any length
+go through whole; of rows that are equal, or whose texts are near-duplicates, one stays, the one with the least doc_id; a null doc_id or
+source is kept as it is, and a null lang becomes the predicted one; columns beside those of documents stay, whatever their
+names, up to the last stage, which returns its own; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.llm import bpe, langid, mixing, secrets, simhash
-from epochal.llm.common import materialize, table
+from epochal.llm.common import discard, new_path, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +59,14 @@ ORACLE_SQL = None  # no stage but mixing and secrets comes near to SQL; tests/ll
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        before, path = docs, new_path(spark, name.lower().replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if written:
+            discard(before)
+        written = True
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+_inside: list[str] = []  # folders of the scratch blocks that are open
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_inside[-1] if _inside else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside the block to new paths is deleted at its end, when its result must have been written elsewhere."""
+    folder = new_path(spark, "scratch")
+    _inside.append(folder)
+    try:
+        yield
+    finally:
+        _inside.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
