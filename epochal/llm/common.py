@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.sources.shared import discard, materialize, new_path, shared_dir
+from epochal.sources.shared import discard, materialize, new_path, scratch, shared_dir
 
-__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "shared_dir", "spread", "table", "unused", "utf8_size"]
+__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "scratch", "shared_dir", "spread", "table", "unused", "utf8_size"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

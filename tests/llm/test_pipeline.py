@@ -57,7 +57,35 @@ def test_last_stage_decodes(spark, small, odd):
 
 
 def test_run(spark):
+    """The result is there, and of the intermediate tables only the last stage's input is left."""
+    from epochal.sources.shared import shared_dir
+
+    folder = Path(shared_dir(spark).split("file://")[-1])
+    before = set(folder.iterdir())
     assert corpus_pipeline.run(spark, SF).count() > 100
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["mixing"]
+
+
+def test_mixed_shares(spark):
+    """After language ID, deduplication and redaction, whole documents come near the targets of what is left."""
+    import re
+
+    sf, docs = "/root/testdata/sf0.01", spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language ID", "SimHash near-dedup", "secret scans"):
+        docs = materialize(stages[name](spark, docs, sf), "t")
+    sizes, out = Counter(), Counter()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for r in docs.collect():
+        sizes[r.source] += words(r.text)
+    from tests.llm.test_mixing import levels
+
+    largest = {s: 0 for s in sizes}
+    for r in stages["mixing"](spark, docs, sf).collect():
+        out[r.source] += words(r.text)
+        largest[r.source] = max(largest[r.source], words(r.text))
+    for s, target in levels(sizes).items():
+        assert abs(out[s] - target) <= max(0.02 * target, largest[s])
 
 
 def test_stages_take_odd_tables(spark, odd, none):
