@@ -74,16 +74,15 @@ def test_mixed_shares(spark):
     stages = dict(corpus_pipeline.STAGES)
     for name in ("language ID", "SimHash near-dedup", "secret scans"):
         docs = materialize(stages[name](spark, docs, sf), "t")
-    sizes, out = Counter(), Counter()
+    sizes, out, largest = Counter(), Counter(), Counter()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     for r in docs.collect():
         sizes[r.source] += words(r.text)
+        largest[r.source] = max(largest[r.source], words(r.text))
     from tests.llm.test_mixing import levels
 
-    largest = {s: 0 for s in sizes}
     for r in stages["mixing"](spark, docs, sf).collect():
         out[r.source] += words(r.text)
-        largest[r.source] = max(largest[r.source], words(r.text))
     for s, target in levels(sizes).items():
         assert abs(out[s] - target) <= max(0.02 * target, largest[s])
 
