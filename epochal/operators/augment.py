@@ -1,15 +1,18 @@
-"""Augmenters over array columns. The transforms take their parameters; `drawn` draws them by seeded hash and decides per element."""
+"""Augmenters over array columns, as expressions. The transforms take their parameters; `between` and `drawn_region` draw them by seeded
+hash, and `drawn` decides per element whether it changes. Draws depend on keys and seeds only, never on partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochal.operators.sampling import uniform
+from epochal.operators.sampling import normal, uniform
+
+#: Fixed value: the spread of the noise that stands for what is erased or dropped.
+FAINT = 0.01
 
 
 def drawn(df: DataFrame, key: str, column: str, transform: Callable[[Column], Column], p: float, seed: int, weight: float = 1.0) -> DataFrame:
@@ -27,6 +30,11 @@ def shift(x: Column, by: Column | float) -> Column:
     return F.transform(x, lambda v: v + by)
 
 
+def between(low: float, high: float, key: str, seed: int) -> Column:
+    """A uniform parameter for each element."""
+    return low + (high - low) * uniform(seed, F.col(key), F.lit("parameter"))
+
+
 def log_uniform(u: Column, low: float, high: float) -> Column:
     return F.pow(F.lit(10.0), F.log10(F.lit(low)) + u * (F.log10(F.lit(high)) - F.log10(F.lit(low))))
 
@@ -40,10 +48,25 @@ def region(x: Column, start: Column, length: Column, change: Callable[[Column, C
     return F.transform(x, lambda v, i: F.when(in_region(i, start, length, F.size(x)), change(v, i)).otherwise(v))
 
 
-def erase(x: Column, start: Column, length: Column) -> Column:
-    """A region set to the mean of the whole."""
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    return region(x, start, length, lambda v, i: mean)
+def drawn_region(x: Column, key: str, low: float, high: float, seed: int) -> tuple[Column, Column]:
+    """start, length: a uniform start, and a share of the element that is log-uniform between low and high."""
+    n = F.size(x)
+    length = F.floor(log_uniform(uniform(seed, F.col(key), F.lit("length")), low, high) * n)
+    return drawn_start(x, key, "start", seed), length.cast("int")
+
+
+def drawn_start(x: Column, key: str, name: str, seed: int) -> Column:
+    return F.floor(uniform(seed, F.col(key), F.lit(name)) * F.size(x)).cast("int")
+
+
+def mean(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+
+
+def erase(x: Column, start: Column, length: Column, key: str | None = None, seed: int = 0) -> Column:
+    """A region set to the mean of the whole, with faint noise if a key is given."""
+    noise = (lambda i: FAINT * normal(seed, F.col(key), i)) if key else (lambda i: F.lit(0.0))
+    return region(x, start, length, lambda v, i: mean(x) + noise(i))
 
 
 def sign_flip(x: Column, start: Column, length: Column) -> Column:
@@ -56,66 +79,43 @@ def signal_mix(x: Column, start: Column, other: Column, length: Column) -> Colum
 
 
 def channel_dropout(channels: list[str], key: str, fraction: float, seed: int) -> list[tuple[str, Column]]:
-    """name and new column for each channel: at least one goes to its mean, never all."""
+    """name and new column for each channel: at least one goes to faint noise about its mean, never all."""
     drop = max(int(len(channels) * fraction), 1)
     if drop >= len(channels):
         raise ValueError("all channels would be dropped")
     ranks = F.array_sort(F.array(*(F.struct(uniform(seed, F.col(key), F.lit(c)).alias("u"), F.lit(c).alias("c")) for c in channels)))
     gone = F.transform(F.slice(ranks, 1, drop), lambda s: s["c"])
-
-    def flat(c: str) -> Column:
-        mean = F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
-        return F.transform(c, lambda v: mean)
-
-    return [(c, F.when(F.array_contains(gone, F.lit(c)), flat(c)).otherwise(F.col(c))) for c in channels]
+    faint = lambda c: F.transform(c, lambda v, i: mean(F.col(c)) + FAINT * normal(seed, F.col(key), F.lit(c), i))
+    return [(c, F.when(F.array_contains(gone, F.lit(c)), faint(c)).otherwise(F.col(c))) for c in channels]
 
 
 def noisy(df: DataFrame, key: str, column: str, sigma: float, seed: int) -> DataFrame:
-    """Gaussian noise on arrays. One generator per element, seeded by its key, so the result doesn't depend on the partitions."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame[column] = [np.asarray(x) + np.random.default_rng([seed, int(k) & 0xFFFFFFFF]).normal(0, sigma, len(x)) if x is not None else None for k, x in zip(frame[key], frame[column])]
-            yield frame
-
-    return df.mapInPandas(run, df.schema)
+    """Gaussian noise on arrays."""
+    return df.withColumn(column, F.transform(column, lambda v, i: v + sigma * normal(seed, F.col(key), i)))
 
 
 def noisy_region(df: DataFrame, key: str, column: str, sigma: float, low: float, high: float, seed: int) -> DataFrame:
     """Gaussian noise on a circular region whose share of the element is log-uniform between low and high."""
+    start, length = drawn_region(F.col(column), key, low, high, seed)
+    return df.withColumn(column, region(F.col(column), start, length, lambda v, i: v + sigma * normal(seed, F.col(key), i)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, x in zip(frame[key], frame[column]):
-                if x is None:
-                    out.append(None)
-                    continue
-                draw, x = np.random.default_rng([seed, int(k) & 0xFFFFFFFF]), np.array(x)
-                length = int(len(x) * 10 ** draw.uniform(np.log10(low), np.log10(high)))
-                places = (draw.integers(max(len(x), 1)) + np.arange(length)) % max(len(x), 1)
-                x[places] += draw.normal(0, sigma, length)
-                out.append(x)
-            frame[column] = out
-            yield frame
 
-    return df.mapInPandas(run, df.schema)
+def smoothing(sigma: float) -> list[float]:
+    """Weights of a Gaussian kernel out to three sigma."""
+    radius = max(1, int(3 * sigma))
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [w / sum(weights) for w in weights]
 
 
 def elastic(df: DataFrame, key: str, column: str, alpha: float, sigma: float, seed: int) -> DataFrame:
     """Smoothed random displacement of places with linear interpolation."""
-    radius = max(1, int(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
-
-    def one(k: int, x: np.ndarray) -> np.ndarray:
-        moves = np.random.default_rng([seed, int(k) & 0xFFFFFFFF]).uniform(-1, 1, len(x) + 2 * radius)
-        places = np.arange(len(x))
-        return np.interp(np.clip(places + alpha * np.convolve(moves, kernel, "valid"), 0, len(x) - 1), places, x)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame[column] = [one(k, np.asarray(x)) if x is not None and len(x) else x for k, x in zip(frame[key], frame[column])]
-            yield frame
-
-    return df.mapInPandas(run, df.schema)
+    kernel, x = smoothing(sigma), F.col(column)
+    n = F.size(x)
+    moves = F.transform(F.sequence(F.lit(0), n + len(kernel) - 2), lambda i: 2 * uniform(seed, F.col(key), i) - 1)
+    weighed = lambda i: sum((w * F.get(F.col("moves"), i + k) for k, w in enumerate(kernel)), F.lit(0.0))
+    place = lambda i: F.greatest(F.lit(0.0), F.least(n - 1.0, i + alpha * weighed(i)))
+    low = lambda p: F.floor(p).cast("int")
+    between_two = lambda p: F.get(x, low(p)) + (p - low(p)) * (F.get(x, F.least(n - 1, low(p) + 1)) - F.get(x, low(p)))
+    places = F.transform(x, lambda v, i: place(i))
+    out = df.withColumn("moves", F.when(n > 0, moves)).withColumn("places", F.when(n > 0, places))
+    return out.withColumn(column, F.when(n > 0, F.transform("places", between_two)).otherwise(x)).drop("moves", "places")

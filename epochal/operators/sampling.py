@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.operators.ordering import numbered
+
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number in [0, 1) for each combination of values."""
-    return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) for each combination of values: 48 bits of an MD5 digest, which any engine can compute."""
+    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def uniform_sql(seed: int, *parts: str) -> str:
+    """The same as SQL."""
+    values = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST('0x' || left(md5(concat_ws('|', {values}, '{seed}')), 12) AS BIGINT) / {1 << 48}.0)"
+
+
+def normal(seed: int, *parts: Column) -> Column:
+    """A standard normal number, from two uniform ones."""
+    u, v = (uniform(seed, *parts, F.lit(k)) for k in ("u", "v"))
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def normal_sql(seed: int, *parts: str) -> str:
+    u, v = (uniform_sql(seed, *parts, f"'{k}'") for k in ("u", "v"))
+    return f"(sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}))"
 
 
 def random_periods(periods: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """draw, study_id, period_idx: a uniform study, then a uniform period of it, with replacement. Draws are dealt to studies by
-    equality of their running numbers; only one row per study is numbered."""
-    spark = periods.sparkSession
-    sizes = periods.groupBy("study_id").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(Window.orderBy("study_id")) - 1)
-    sizes = sizes.withColumn("studies", F.count("*").over(Window.partitionBy()))
-    total = sizes.agg(F.max("studies")).first()[0] or 0
-    drawn = spark.range(draws).select(F.col("id").alias("draw"), F.floor(uniform(seed, F.col("id")) * total).cast("int").alias("nth"))
-    rows = drawn.join(sizes, "nth")
-    return rows.select("draw", "study_id", F.floor(uniform(seed + 1, F.col("draw")) * F.col("n")).cast("int").alias("period_idx"))
+    """draw, study_id, period_idx, n: a uniform study, then a uniform period of its n, with replacement. Draws are dealt to studies by
+    equality of their running numbers."""
+    sizes = numbered(periods.groupBy("study_id").agg(F.count("*").alias("n")), "nth", "study_id")
+    total = sizes.agg(F.max("nth_total")).first()[0] or 0
+    drawn = periods.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.floor(uniform(seed, F.col("id")) * total) + 1).alias("nth"))
+    return drawn.join(sizes, "nth").select("draw", "study_id", F.floor(uniform(seed + 1, F.col("draw")) * F.col("n")).cast("int").alias("period_idx"), "n")
 
 
 def balanced_periods(periods: DataFrame, per_class: int, seed: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Metrics in the order in which they decide which model is best, and whether more is better.
@@ -11,8 +11,8 @@ BEST_BY = (("val_dice", True), ("val_loss", False), ("dice", True), ("loss", Fal
 
 def last_run(log: DataFrame) -> DataFrame:
     """The rows from the last one that has epoch 0. log: rn (order), epoch, ..."""
-    begin = F.max(F.when(F.col("epoch") == 0, F.col("rn"))).over(Window.partitionBy())
-    return log.withColumn("begin", begin).filter("rn >= begin").drop("begin")
+    begin = log.agg(F.max(F.when(F.col("epoch") == 0, F.col("rn"))).alias("begin"))  # one row
+    return log.join(F.broadcast(begin), F.col("rn") >= F.col("begin")).drop("begin")
 
 
 def rate_at(log: DataFrame, epoch: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.operators.ordering import running
+
 
 def sized(periods: DataFrame) -> DataFrame:
     return periods.withColumn("n", F.count("*").over(Window.partitionBy("study_id")))
@@ -44,7 +46,7 @@ def study_sizes(periods: DataFrame) -> DataFrame:
 def cumulative(sizes: DataFrame, margin: int = 0) -> DataFrame:
     """study_id, n, usable, cum: windows of each study and their running sum in study order. One row per study."""
     usable = sizes.withColumn("usable", F.greatest(F.col("n") - 2 * margin, F.lit(0)))
-    return usable.withColumn("cum", F.sum("usable").over(Window.orderBy("study_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(usable, "cum", F.col("usable").cast("bigint"), "study_id").drop("cum_total")
 
 
 def located(sizes: DataFrame, batch: int, margin: int) -> DataFrame:

@@ -123,10 +123,10 @@ def mean_of_study_metrics(spark, sf_dir):
     return rounded(named.unionByName(named.agg(F.lit("mean").alias("dataset"), F.avg("dice").alias("dice"))), "dice")
 
 
-@query("""WITH x AS (SELECT vec_id, label, i AS class, CAST(embedding[i + 1] AS DOUBLE) AS y, CASE WHEN label = i THEN 1.0 ELSE 0.0 END AS t FROM embeddings, (SELECT unnest(range(10)) AS i)),
+@query("""WITH x AS (SELECT vec_id, label, i AS class, CAST(embedding[i + 1] AS DOUBLE) AS y, CASE WHEN label = i THEN 1.0 ELSE 0.0 END AS t FROM embeddings, (SELECT unnest(range(64)) AS i)),
 per AS (SELECT vec_id, class, sum(t * y) AS ty, sum(t + y) AS b FROM x GROUP BY 1, 2) SELECT vec_id, round(1 - avg((2 * ty + 1) / (b + 1)), 6) AS loss FROM per GROUP BY 1""")
 def dice_loss(spark, sf_dir):
-    rows = t.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 10)).alias("class", "y"))
+    rows = t.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("class", "y"))
     return rounded(metrics.dice_loss(rows.withColumn("t", (F.col("label") == F.col("class")).cast("double")), "vec_id"), "loss", digits=6)
 
 

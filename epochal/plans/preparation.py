@@ -98,9 +98,9 @@ def smooth_neighbours(spark, sf_dir):
     return rounded(labels.smoothed(t.periods(spark, sf_dir).select("study_id", "period_idx", "stage"), (0.25, 0.5, 0.25), 5), "weight")
 
 
-@query("SELECT vec_id, CAST(c AS INTEGER) AS channel, CAST(list_sum(embedding[c * 16 + 1 : c * 16 + 16]::DOUBLE[]) IS NOT NULL AS BOOLEAN) AS present FROM embeddings, (VALUES (0), (2)) v(c)")
+@query(f"WITH {t.SAMPLES_SQL} SELECT vec_id, channel, idx, round(x, 6) AS x FROM samples WHERE channel IN (0, 2)")
 def channel_select(spark, sf_dir):
-    return t.scores(spark, sf_dir).filter(F.col("channel").isin(0, 2)).select("vec_id", "channel", (F.size("scores") > 0).alias("present"))
+    return rounded(t.samples(spark, sf_dir).filter(F.col("channel").isin(0, 2)), "x")
 
 
 @query("SELECT vec_id AS record, label AS class FROM embeddings")
@@ -183,8 +183,8 @@ def region_flip(spark, sf_dir):
     return rounded(signals.flipped(t.samples(spark, sf_dir), 12, 6, 16), "x")
 
 
-@query(f"""WITH {t.SAMPLES_SQL} SELECT a.vec_id, a.channel, a.idx, round(CASE WHEN (a.idx - 12 + 16) % 16 < 6 THEN (a.x + b.x) / 2 ELSE a.x END, 6) AS x
-FROM samples a JOIN samples b ON a.vec_id = b.vec_id AND a.channel = b.channel AND b.idx = (a.idx + 7) % 16""")
+@query("""SELECT vec_id, CAST(i // 16 AS INTEGER) AS channel, CAST(i % 16 AS INTEGER) AS idx, round(CASE WHEN (i % 16 - 12 + 16) % 16 < 6
+THEN (embedding[i + 1]::DOUBLE + embedding[i - i % 16 + (i % 16 + 7) % 16 + 1]::DOUBLE) / 2 ELSE embedding[i + 1]::DOUBLE END, 6) AS x FROM embeddings, (SELECT unnest(range(64)) AS i)""")
 def region_mix(spark, sf_dir):
     return rounded(signals.mixed(t.samples(spark, sf_dir), 12, 19, 6, 16, *KEY), "x")
 
@@ -232,11 +232,11 @@ def json_settings(spark, sf_dir):
     return t.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT event_id, TRY_CAST(props AS INTEGER) IS NULL AS failed FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, TRY_CAST(CASE WHEN event_type = 'error' THEN props ELSE json_extract_string(props, '$.k') END AS INTEGER) IS NULL AS failed FROM events")
 def load_errors(spark, sf_dir):
-    """Records that can't be read become rows of an error table instead of failures."""
-    tried = t.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select("event_id", F.expr("try_cast(props as int) is null").alias("failed"))
-    return tried
+    """Records that can't be read become rows of an error table instead of failures: those of errors hold no number."""
+    record = "case when event_type = 'error' then props else get_json_object(props, '$.k') end"
+    return t.table(spark, sf_dir, "events").select("event_id", F.expr(f"try_cast({record} as int) is null").alias("failed"))
 
 
 @query("SELECT l_orderkey, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS rates, count(DISTINCT l_suppkey) = 1 AS equal FROM lineitem GROUP BY 1")

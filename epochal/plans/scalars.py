@@ -31,10 +31,10 @@ def conv_sizes(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select("p_partkey", scalars.conv_size(F.col("p_size") * 10, 5, 2, 2).alias("n"))
 
 
-@query("""WITH x AS (SELECT vec_id, i, exp(CAST(embedding[i + 1] AS DOUBLE)) AS e FROM embeddings, (SELECT unnest(range(8)) AS i))
+@query("""WITH x AS (SELECT vec_id, i, exp(CAST(embedding[i + 1] AS DOUBLE)) AS e FROM embeddings, (SELECT unnest(range(64)) AS i))
 SELECT vec_id, CAST(i AS INTEGER) AS class, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM x""")
 def softmax_scores(spark, sf_dir):
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    scores = F.col("embedding").cast("array<double>")
     return t.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scalars.softmax(scores)).alias("class", "p")).withColumn("p", F.round("p", 6))
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epochal.operators import augment, sampling, splits, windows
+from epochal.operators import augment, ordering, sampling, splits, windows
+from epochal.operators.sampling import normal_sql, uniform_sql
 from epochal.plans.registry import query
 from epochal.sources import tables as t
 
@@ -92,9 +93,10 @@ def prefix_groups(spark, sf_dir):
     return t.table(spark, sf_dir, "customer").groupBy(F.left("c_name", F.lit(16)).alias("prefix")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer ORDER BY md5(concat_ws('|', CAST(c_custkey AS VARCHAR), '3')) LIMIT 20")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(c_custkey AS VARCHAR), '3'))) AS nth FROM customer")
 def seeded_order(spark, sf_dir):
-    return subjects(spark, sf_dir).orderBy(splits.shuffled_key("c_custkey", 3)).limit(20)
+    """A shuffle: all rows with their places in it."""
+    return ordering.numbered(subjects(spark, sf_dir), "nth", splits.shuffled_key("c_custkey", 3)).drop("nth_total")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '5'))) AS r FROM documents) WHERE r <= 3")
@@ -114,20 +116,27 @@ def train_val_union(spark, sf_dir):
     return of("1-URGENT", "2-HIGH").unionByName(of("5-LOW"))
 
 
-@query()
+@query(f"""WITH {SIZED}, nth AS (SELECT study_id, n, row_number() OVER (ORDER BY study_id) AS nth, count(*) OVER () AS total FROM sized), d AS (SELECT unnest(range(512)) AS draw),
+c AS (SELECT draw, study_id, n, CAST(floor({uniform_sql(2, "draw")} * n) AS INTEGER) AS center FROM d JOIN nth ON nth = floor({uniform_sql(1, "draw")} * total) + 1)
+SELECT c.draw, c.study_id, center, CAST(o AS INTEGER) AS offset, stage FROM c, (SELECT unnest(range(5)) AS o) JOIN periods p ON p.study_id = c.study_id AND p.period_idx = least(greatest(center - 2, 0), n - 5) + o WHERE n >= 5""")
 def random_batch(spark, sf_dir):
-    """A uniform study, then a uniform period; as windows with margins."""
+    """A uniform study, then a uniform period, as windows with margins: only the drawn windows are unfolded."""
     rows = t.periods(spark, sf_dir)
-    drawn = sampling.random_periods(rows, 512, 1)
-    return windows.margin_windows(rows, 2, "stage").join(drawn.withColumnRenamed("period_idx", "center"), ["study_id", "center"])
+    drawn = sampling.random_periods(rows, 512, 1).filter("n >= 5").withColumnRenamed("period_idx", "center")
+    begin = F.least(F.greatest(F.col("center") - 2, F.lit(0)), F.col("n") - 5)
+    drawn = drawn.withColumn("begin", begin).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("period_idx", (F.col("begin") + F.col("offset")).cast("int"))
+    return drawn.join(rows, ["study_id", "period_idx"]).select("draw", "study_id", "center", "offset", "stage")
 
 
-@query()
+@query(f"""WITH {t.PERIODS}, a AS (SELECT study_id, period_idx, stage, row_number() OVER (PARTITION BY stage, study_id ORDER BY {uniform_sql(1, "study_id", "period_idx")}) AS turn FROM periods),
+b AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY turn, {uniform_sql(2, "study_id", "period_idx")}) AS nth FROM a) SELECT study_id, period_idx, stage FROM b WHERE nth <= 64""")
 def balanced_batch(spark, sf_dir):
     return sampling.balanced_periods(t.periods(spark, sf_dir), 64, 1)
 
 
-@query()
+@query(f"""WITH p AS (SELECT source AS dataset, 0.5 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) + 0.5 / count(*) OVER () AS p FROM documents GROUP BY 1),
+cum AS (SELECT dataset, p, sum(p) OVER (ORDER BY dataset) AS cum, row_number() OVER (ORDER BY dataset DESC) AS last FROM p), d AS (SELECT draw, {uniform_sql(1, "draw")} AS u FROM (SELECT unnest(range(1000)) AS draw))
+SELECT draw, dataset FROM d JOIN cum ON u >= cum - p AND (u < cum OR last = 1)""")
 def dataset_batch(spark, sf_dir):
     from epochal.operators import metrics
 
@@ -139,63 +148,99 @@ def elements(spark, sf_dir):
     return t.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
-@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]) * 1.5, 5) AS total FROM embeddings")
-def augment_amplitude(spark, sf_dir):
-    done = elements(spark, sf_dir).withColumn("x", augment.amplitude(F.col("x"), 1.5))
-    return done.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+def unfolded(df):
+    return df.select("vec_id", F.posexplode("x").alias("place", "x")).withColumn("x", F.round("x", 5))
 
 
-@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]) + 64 * 0.25, 5) AS total FROM embeddings")
-def augment_shift(spark, sf_dir):
-    done = elements(spark, sf_dir).withColumn("x", augment.shift(F.col("x"), 0.25))
-    return done.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+#: One row per component, with its element and a drawn region of it.
+ELEMENTS = "e AS (SELECT vec_id, embedding::DOUBLE[] AS xs, len(embedding) AS n, unnest(range(len(embedding))) AS i FROM embeddings)"
+LOW, HIGH = 0.1, 0.5
+
+
+def region_sql(seed):
+    length = f"floor(pow(10, log10({LOW}) + {uniform_sql(seed, 'vec_id', "'length'")} * (log10({HIGH}) - log10({LOW}))) * n)"
+    start = start_sql(seed, "start")
+    return f"{ELEMENTS}, r AS (SELECT *, xs[i + 1] AS v, list_avg(xs) AS m, ((i - {start}) % n + n) % n < {length} AS inside, {start} AS start FROM e)"
+
+
+def start_sql(seed, name):
+    return f"CAST(floor({uniform_sql(seed, 'vec_id', f"'{name}'")} * n) AS BIGINT)"
+
+
+def placed(value, source="r"):
+    return f"SELECT vec_id, CAST(i AS INTEGER) AS place, round({value}, 5) AS x FROM {source}"
+
+
+def parameter_sql(low, high, seed):
+    return f"({low} + ({high} - {low}) * {uniform_sql(seed, 'vec_id', "'parameter'")})"
 
 
-REGION = "(i - 50 + 64) % 64 < 20"
+NOISE, OTHER = normal_sql(1, "vec_id", "i"), start_sql(3, "other")
 
 
-@query(f"""WITH x AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v, avg(CAST(embedding[i + 1] AS DOUBLE)) OVER (PARTITION BY vec_id) AS m FROM embeddings, (SELECT unnest(range(64)) AS i))
-SELECT vec_id, CAST(i AS INTEGER) AS place, round(CASE WHEN {REGION} THEN m ELSE v END, 6) AS x FROM x""")
+@query(f"WITH {ELEMENTS} {placed(f'xs[i + 1] * {parameter_sql(0.5, 2.0, 1)}', 'e')}")
+def augment_amplitude(spark, sf_dir):
+    return unfolded(elements(spark, sf_dir).withColumn("x", augment.amplitude(F.col("x"), augment.between(0.5, 2.0, "vec_id", 1))))
+
+
+@query(f"WITH {ELEMENTS} {placed(f'xs[i + 1] + {parameter_sql(-0.5, 0.5, 1)}', 'e')}")
+def augment_shift(spark, sf_dir):
+    return unfolded(elements(spark, sf_dir).withColumn("x", augment.shift(F.col("x"), augment.between(-0.5, 0.5, "vec_id", 1))))
+
+
+@query(f"WITH {region_sql(1)} {placed(f'CASE WHEN inside THEN m + 0.01 * {NOISE} ELSE v END')}")
 def augment_erase(spark, sf_dir):
-    done = elements(spark, sf_dir).withColumn("x", augment.erase(F.col("x"), F.lit(50), F.lit(20)))
-    return done.select("vec_id", F.posexplode("x").alias("place", "x")).withColumn("x", F.round("x", 6))
+    """A drawn region gives way to faint noise about the mean."""
+    region = augment.drawn_region(F.col("x"), "vec_id", LOW, HIGH, 1)
+    return unfolded(elements(spark, sf_dir).withColumn("x", augment.erase(F.col("x"), *region, "vec_id", 1)))
 
 
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS place, round(CASE WHEN {REGION} THEN -1 ELSE 1 END * CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, (SELECT unnest(range(64)) AS i)")
+@query(f"WITH {region_sql(2)} {placed('CASE WHEN inside THEN -v ELSE v END')}")
 def augment_sign_flip(spark, sf_dir):
-    done = elements(spark, sf_dir).withColumn("x", augment.sign_flip(F.col("x"), F.lit(50), F.lit(20)))
-    return done.select("vec_id", F.posexplode("x").alias("place", "x")).withColumn("x", F.round("x", 6))
+    return unfolded(elements(spark, sf_dir).withColumn("x", augment.sign_flip(F.col("x"), *augment.drawn_region(F.col("x"), "vec_id", LOW, HIGH, 2))))
 
 
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS place, round(CASE WHEN {REGION} THEN (CAST(embedding[i + 1] AS DOUBLE) + CAST(embedding[(i + 10 - 50 + 64) % 64 + 1] AS DOUBLE)) / 2 ELSE CAST(embedding[i + 1] AS DOUBLE) END, 6) AS x FROM embeddings, (SELECT unnest(range(64)) AS i)")
+@query(f"WITH {region_sql(3)} {placed(f'CASE WHEN inside THEN (v + xs[(i + {OTHER} - start + n) % n + 1]) / 2 ELSE v END')}")
 def augment_signal_mix(spark, sf_dir):
-    done = elements(spark, sf_dir).withColumn("x", augment.signal_mix(F.col("x"), F.lit(50), F.lit(10), F.lit(20)))
-    return done.select("vec_id", F.posexplode("x").alias("place", "x")).withColumn("x", F.round("x", 6))
+    start, length = augment.drawn_region(F.col("x"), "vec_id", LOW, HIGH, 3)
+    other = augment.drawn_start(F.col("x"), "vec_id", "other", 3)
+    return unfolded(elements(spark, sf_dir).withColumn("x", augment.signal_mix(F.col("x"), start, other, length)))
 
 
-@query()
+@query(f"WITH {ELEMENTS} {placed(f'xs[i + 1] + 0.1 * {NOISE}', 'e')}")
 def augment_noise(spark, sf_dir):
-    return augment.noisy(elements(spark, sf_dir), "vec_id", "x", 0.1, 1).select("vec_id", F.round(F.array_max("x"), 6).alias("most"))
+    return unfolded(augment.noisy(elements(spark, sf_dir), "vec_id", "x", 0.1, 1))
 
 
-@query()
+KERNEL = augment.smoothing(4.0)
+
+
+@query(f"""WITH {ELEMENTS}, k AS (SELECT unnest(range({len(KERNEL)})) AS j, unnest([{", ".join(map(repr, KERNEL))}]::DOUBLE[]) AS w),
+d AS (SELECT vec_id, i, any_value(n) AS n, any_value(xs) AS xs, sum(w * (2 * {uniform_sql(1, "vec_id", "i + j")} - 1)) AS moved FROM e, k GROUP BY 1, 2),
+p AS (SELECT *, greatest(0.0, least(n - 1.0, i + 2.0 * moved)) AS p FROM d) {placed("xs[floor(p)::INTEGER + 1] + (p - floor(p)) * (xs[least(n - 1, floor(p)::INTEGER + 1) + 1] - xs[floor(p)::INTEGER + 1])", "p")}""")
 def augment_elastic(spark, sf_dir):
-    return augment.elastic(elements(spark, sf_dir), "vec_id", "x", 2.0, 4.0, 1).select("vec_id", F.round(F.array_max("x"), 6).alias("most"))
+    return unfolded(augment.elastic(elements(spark, sf_dir), "vec_id", "x", 2.0, 4.0, 1))
 
 
-@query()
+@query(f"""WITH {ELEMENTS}, h AS (SELECT *, {uniform_sql(1, "vec_id")} < 0.5 AS hit FROM e)
+SELECT vec_id, CASE WHEN hit THEN 0.33 ELSE 1.0 END::DOUBLE AS weight, CAST(i AS INTEGER) AS place, round(CASE WHEN hit THEN xs[i + 1] * {parameter_sql(0.5, 2.0, 2)} ELSE xs[i + 1] END, 5) AS x FROM h""")
 def augment_drawn(spark, sf_dir):
-    """Each element's amplitude changes with probability one half."""
+    """Each element's amplitude changes with probability one half, by a drawn factor."""
     rows = elements(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    return augment.drawn(rows, "vec_id", "x", lambda x: augment.amplitude(x, 2.0), 0.5, 1, 0.33).select("vec_id", "weight")
+    done = augment.drawn(rows, "vec_id", "x", lambda x: augment.amplitude(x, augment.between(0.5, 2.0, "vec_id", 2)), 0.5, 1, 0.33)
+    return done.select("vec_id", "weight", F.posexplode("x").alias("place", "x")).withColumn("x", F.round("x", 5))
 
 
-@query()
+@query(f"""WITH c AS (SELECT vec_id, c, 'ch' || c AS name, embedding[c * 16 + 1 : c * 16 + 16]::DOUBLE[] AS xs FROM embeddings, (SELECT unnest(range(4)) AS c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY {uniform_sql(1, "vec_id", "name")}) <= 2 AS gone FROM c), i AS (SELECT *, unnest(range(16)) AS i FROM r)
+SELECT vec_id, name AS channel, CAST(i AS INTEGER) AS place, round(CASE WHEN gone THEN list_avg(xs) + 0.01 * {normal_sql(1, "vec_id", "name", "i")} ELSE xs[i + 1] END, 5) AS x FROM i""")
 def augment_channel_dropout(spark, sf_dir):
     e = t.table(spark, sf_dir, "embeddings").select("vec_id", *(F.slice(F.col("embedding").cast("array<double>"), k * 16 + 1, 16).alias(f"ch{k}") for k in range(4)))
     names = [f"ch{k}" for k in range(4)]
     done = e.withColumns(dict(augment.channel_dropout(names, "vec_id", 0.5, 1)))
-    return done.select("vec_id", *((F.array_max(c) == F.array_min(c)).alias(f"{c}_flat") for c in names))
+    every = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("x")) for c in names))).alias("c")
+    done = done.select("vec_id", every).select("vec_id", F.col("c.channel").alias("channel"), F.posexplode("c.x").alias("place", "x"))
+    return done.withColumn("x", F.round("x", 5))
 
 
 @query(f"WITH {t.PERIODS} SELECT study_id, period_idx, CAST(sum(stage) OVER (PARTITION BY study_id ORDER BY period_idx) AS BIGINT) AS total FROM periods")
@@ -203,10 +248,9 @@ def running_stage(spark, sf_dir):
     return t.periods(spark, sf_dir).select("study_id", "period_idx", F.sum("stage").over(Window.partitionBy("study_id").orderBy("period_idx")).alias("total"))
 
 
-@query()
+@query(f"WITH {region_sql(1)} {placed(f'CASE WHEN inside THEN v + 0.1 * {NOISE} ELSE v END')}")
 def augment_regional_noise(spark, sf_dir):
-    done = augment.noisy_region(elements(spark, sf_dir), "vec_id", "x", 0.1, 0.1, 0.5, 1)
-    return done.select("vec_id", F.round(F.array_max("x"), 6).alias("most"))
+    return unfolded(augment.noisy_region(elements(spark, sf_dir), "vec_id", "x", 0.1, LOW, HIGH, 1))
 
 
 @query()

@@ -1,9 +1,8 @@
 """Queries for names, channels, files, logs and sets."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epochal.operators import channels, splits, training
+from epochal.operators import channels, ordering, splits, training
 from epochal.plans.registry import query
 from epochal.sources import tables as t
 
@@ -87,7 +86,7 @@ def file_regex(spark, sf_dir):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY CAST(right(c_name, 9) AS INTEGER)) AS nth FROM customer")
 def numeric_sort(spark, sf_dir):
     number = F.expr("cast(right(c_name, 9) as int)")
-    return t.table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.orderBy(number)).cast("bigint").alias("nth"))
+    return ordering.numbered(t.table(spark, sf_dir, "customer").select("c_custkey", number.alias("number")), "nth", "number").select("c_custkey", "nth")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name LIMIT 10")
@@ -148,10 +147,11 @@ def pred_period(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("double") / 10 * 30).alias("seconds"))
 
 
-@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT doc_id, len(list_distinct(w)) AS n FROM w")
+@query("""WITH w AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY 1, 2)
+SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY 1""")
 def ordered_distinct(spark, sf_dir):
     """Distinct entries of a list, in the order of their first occurrence."""
-    return t.table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", " "))).cast("bigint").alias("n"))
+    return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS key, c_mktsegment AS segment, '~' AS status FROM customer UNION ALL SELECT o_orderkey, '~', o_orderstatus FROM orders")

@@ -59,16 +59,19 @@ def runs(stream: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stage, run, n = state.get if state.exists else (None, 0, 0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            if kind != stage:
-                if n:
-                    out.append((key[0], stage, run, n))
-                stage, run, n = kind, run + 1, 0
-            n += 1
-        state.update((stage, run, n))
-        yield pd.DataFrame(out, columns=["user_id", "stage", "run", "n"])
+        kinds = pd.concat(list(frames)).sort_values(["ts", "event_id"])["event_type"]
+        turns = kinds.ne(kinds.shift())
+        turns.iloc[0] = kinds.iloc[0] != stage
+        nth = turns.cumsum() + run
+        found = pd.DataFrame({"stage": kinds, "run": nth}).groupby("run").agg(stage=("stage", "first"), n=("stage", "size"))
+        if n and run in found.index:
+            found.loc[run, "n"] += n
+        elif n:
+            found = pd.concat([pd.DataFrame({"stage": [stage], "n": [n]}, index=[run]), found])
+        last = found.iloc[-1]
+        state.update((last["stage"], int(found.index[-1]), int(last["n"])))
+        closed = found.iloc[:-1]
+        yield pd.DataFrame({"user_id": key[0], "stage": closed["stage"], "run": closed.index, "n": closed["n"]})
 
     rows = stream.select("user_id", "ts", "event_id", "event_type")
     return rows.groupBy("user_id").applyInPandasWithState(step, RUN, "stage string, run long, n long", "append", GroupStateTimeout.NoTimeout)
