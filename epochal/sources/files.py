@@ -1,12 +1,14 @@
 """Reading and writing records: signals, hypnograms, predictions and evaluations.
 
-Text formats go through Spark's own readers with declared schemas. Formats that Spark doesn't know (EDF signals, npy and npz arrays) are
-read as binary files and parsed file by file in tasks; files that can't be parsed become rows of an error table.
+Text and XML formats go through Spark's own readers with declared schemas. Formats that Spark doesn't know (EDF signals and annotations,
+npy and npz arrays) are read as binary files and parsed file by file in tasks; files that can't be parsed become rows of an error table.
 """
 
 from __future__ import annotations
 
 import io
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,19 @@ def discovered(spark: SparkSession, root: str, folder: str = ".*", file: str = "
     return files.filter(parent.rlike(f"^(?:{folder})$") & name.rlike(f"^(?:{file})$")).select("path", parent.alias("study_id"))
 
 
+def paired(spark: SparkSession, root: str, folder: str = ".*", psg: str = r".*\.edf", hyp: str = r".*\.(ids|tsv|hyp|xml|np[yz])") -> DataFrame:
+    """study_id, psg, hyp, error: of each matching directory, the one file that matches psg and the one that matches hyp. A directory that
+    holds none or several of either has an error and null paths in their place. Names that match both patterns count as psg."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    is_psg = name.rlike(f"^(?:{psg})$")
+    is_hyp = name.rlike(f"^(?:{hyp})$") & ~is_psg
+    found = discovered(spark, root, folder).groupBy("study_id")
+    found = found.agg(*(f(F.when(is_, F.col("path"))).alias(f"{n}{k}") for k, is_ in (("psg", is_psg), ("hyp", is_hyp)) for n, f in (("n_", F.count), ("", F.min))))
+    alone = [F.when(F.col(f"n_{k}") == 1, F.col(k)).alias(k) for k in ("psg", "hyp")]
+    error = F.concat_ws("; ", *(F.when(F.col(f"n_{k}") != 1, F.concat(F.col(f"n_{k}").cast("string"), F.lit(f" files match {k}"))) for k in ("psg", "hyp")))
+    return found.select("study_id", *alone, F.nullif(error, F.lit("")).alias("error"))
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """study_id, init_sec, duration_sec, stage of .ids files (comma separated, no header)."""
     rows = spark.read.schema(SPARSE).csv(path)
@@ -48,6 +63,15 @@ def read_hyp(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(study_of(F.col("_metadata.file_path")).alias("study_id"), lines)
 
 
+def read_xml(spark: SparkSession, path: str) -> DataFrame:
+    """study_id, init_sec, duration_sec, stage of XML files of ScoredEvent elements: those whose EventType names stages. A concept such as
+    `Stage 2 sleep|2` gives the text before the bar. Events without a start or duration go."""
+    rows = spark.read.format("xml").option("rowTag", "ScoredEvent").schema("EventType string, EventConcept string, Start double, Duration double").load(path)
+    stages = rows.filter(F.lower("EventType").contains("stage") & F.col("Start").isNotNull() & F.col("Duration").isNotNull())
+    stage = F.trim(F.regexp_extract("EventConcept", r"^([^|]*)", 1))
+    return stages.select(study_of(F.col("_metadata.file_path")).alias("study_id"), F.col("Start").alias("init_sec"), F.col("Duration").alias("duration_sec"), stage.alias("stage"))
+
+
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     """study_id, class, value of an evaluation csv, whose columns are the classes; the grand mean's row goes."""
     rows = spark.read.csv(path, header=True, inferSchema=True)
@@ -64,7 +88,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """path, error and the schema's columns for each row that parse makes of a file; one row with an error for a file that it can't
-    read. parse is a small helper per file; files are spread over tasks."""
+    read. parse is a small helper per file; files are spread over tasks. Spark's file sources pass over empty files."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -83,23 +107,64 @@ def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tup
     return files.mapInPandas(run, f"path string, error string, {schema}")
 
 
-def parse_edf(content: bytes) -> Iterator[tuple[str, float, list[float]]]:
-    """channel, sample rate and samples of an EDF file: a fixed-width text header, then records of 16-bit samples per channel."""
+ANNOTATIONS = "EDF Annotations"  # fixed value: the label of a channel of texts in EDF+
+
+
+def edf_layout(content: bytes) -> tuple[int, int, float, list[tuple]]:
+    """Header size, records, seconds a record, and per channel: label, samples a record, and the two ranges that give gain and offset."""
     text = lambda a, n: content[a : a + n].decode("ascii").strip()
     size, records, seconds, count = int(text(184, 8)), int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
 
     def fields(skip: int, width: int) -> list[str]:
         return [text(256 + count * skip + i * width, width) for i in range(count)]
 
-    labels = fields(0, 16)
-    low, high, dig_low, dig_high = ([float(x) for x in fields(skip, 8)] for skip in (104, 112, 120, 128))
-    per = [int(x) for x in fields(216, 8)]
-    data = np.frombuffer(content, "<i2", offset=size).reshape(records, sum(per))
-    at = 0
-    for i, n in enumerate(per):
-        gain = (high[i] - low[i]) / (dig_high[i] - dig_low[i])
-        yield labels[i], n / seconds, ((data[:, at : at + n].reshape(-1) - dig_low[i]) * gain + low[i]).tolist()
-        at += n
+    ranges = ([float(x) for x in fields(skip, 8)] for skip in (104, 112, 120, 128))
+    return size, records, seconds, list(zip(fields(0, 16), map(int, fields(216, 8)), *ranges))
+
+
+def parse_edf_header(content: bytes) -> Iterator[tuple[str, float, int]]:
+    """channel, sample rate and number of samples. A channel of annotations is no signal."""
+    _, records, seconds, channels = edf_layout(content)
+    for label, n, *_ in channels:
+        if label != ANNOTATIONS:
+            yield label, n / seconds, n * records
+
+
+def read_edf_headers(spark: SparkSession, path: str) -> DataFrame:
+    """What the headers of EDF files tell; no signal leaves a task. (Spark's binary source has no way to read a file's beginning alone.)"""
+    return parsed(spark, path, parse_edf_header, "channel string, sample_rate double, n_samples long")
+
+
+def edf_records(content: bytes) -> Iterator[tuple[tuple, float, np.ndarray]]:
+    """Each channel's layout, the seconds a record lasts, and its 16-bit samples, a record a row."""
+    size, records, seconds, channels = edf_layout(content)
+    per = [c[1] for c in channels]
+    data = np.frombuffer(content, "<i2", count=records * sum(per), offset=size).reshape(records, sum(per))
+    ends = np.cumsum(per)
+    for channel, n, end in zip(channels, per, ends):
+        yield channel, seconds, data[:, end - n : end]
+
+
+def parse_edf(content: bytes) -> Iterator[tuple[str, float, list[float]]]:
+    """channel, sample rate and samples of an EDF file: a fixed-width text header, then records of 16-bit samples per channel."""
+    for (label, n, low, high, dig_low, dig_high), seconds, data in edf_records(content):
+        if label != ANNOTATIONS:
+            yield label, n / seconds, ((data.reshape(-1) - dig_low) * ((high - low) / (dig_high - dig_low)) + low).tolist()
+
+
+def parse_edf_annotations(content: bytes) -> Iterator[tuple[float, float, str]]:
+    """init_sec, duration_sec and text of the annotations of an EDF+ file: an onset, perhaps byte 21 and a duration, then texts that end in
+    byte 20 each. Texts without a duration have null. The empty texts that keep the records' time go."""
+    for (label, *_), _, data in edf_records(content):
+        if label == ANNOTATIONS:
+            for block in data.tobytes().split(b"\x00"):
+                onset, *texts = block.split(b"\x14")
+                if at := re.fullmatch(rb"([+-][0-9.]+)(?:\x15([0-9.]+))?", onset):
+                    yield from ((float(at[1]), float(at[2]) if at[2] else None, x.decode("utf-8")) for x in texts if x)
+
+
+def read_edf_annotations(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark, path, parse_edf_annotations, "init_sec double, duration_sec double, stage string")
 
 
 def read_edf(spark: SparkSession, path: str) -> DataFrame:
@@ -118,6 +183,12 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark, path, parse_array, "idx int, values array<double>")
 
 
+def read_stage_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """path, error, period_idx, stage of npy and npz files that hold one integer stage per period."""
+    rows = read_arrays(spark, path)
+    return rows.select("path", "error", F.col("idx").alias("period_idx"), F.col("values")[0].cast("int").alias("stage"))
+
+
 def good_and_bad(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that were read, and the files that couldn't be."""
     return read.filter("error is null").drop("error"), read.filter("error is not null").select("path", "error")
@@ -155,7 +226,51 @@ def write_evaluation(per: DataFrame, path: str, digits: int | None = None) -> No
     wide.coalesce(1).write.mode("error").csv(path, header=True)
 
 
-WRITERS = {"ids": write_ids, "tsv": write_tsv, "hyp": write_hyp, "parquet": lambda df, path: df.write.mode("error").parquet(path)}
+def write_evaluation_text(per: DataFrame, path: str, digits: int = 4, width: int = 12) -> None:
+    """The same as lines of text, rounded, in columns of at least that width. Only as many lines as studies."""
+    classes = sorted(r[0] for r in per.select("class").distinct().collect())  # a handful
+    wide = per.groupBy("study_id").pivot("class", classes).agg(F.first("value")).orderBy("study_id")
+    shown = [F.when(F.col(f"`{c}`").isNull(), "NaN").otherwise(F.format_string(f"%.{digits}f", F.round(F.col(f"`{c}`"), digits))) for c in classes]
+    pad = lambda c, n: F.lpad(c, n, " ")
+    cells = F.concat(F.rpad("study_id", 24, " "), *(pad(v, max(width, len(c) + 1)) for v, c in zip(shown, classes)))
+    head = " " * 24 + "".join(c.rjust(max(width, len(c) + 1)) for c in classes)
+    lines = wide.select(F.lit(1).alias("part"), F.col("study_id").alias("k"), F.when(F.length("study_id") > 24, F.concat("study_id", F.substr(cells, F.lit(25)))).otherwise(cells).alias("value"))
+    title = per.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("k"), F.lit(head).alias("value"))
+    title.unionByName(lines.withColumn("k", F.col("k").cast("string"))).coalesce(1).sortWithinPartitions("part", "k").select("value").write.mode("error").text(path)
+
+
+def encoded_arrays(periods: DataFrame, columns: list[str], kind: str = "npy", by: str = "study_id", order: str = "period_idx") -> DataFrame:
+    """study_id and the bytes of one npy or npz file per study: npy holds the columns side by side, npz each column under its name.
+    A column is a number or an array of numbers per period. One study's periods make one group, as they make one file."""
+    if kind not in ("npy", "npz"):
+        raise ValueError(f"no array format named {kind}; there are npy, npz")
+
+    def encode(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame, out = frame.sort_values(order), io.BytesIO()
+        arrays = {c: np.array(frame[c].tolist()).reshape(len(frame), -1) for c in columns}
+        np.save(out, np.concatenate(list(arrays.values()), axis=1)) if kind == "npy" else np.savez(out, **arrays)
+        return pd.DataFrame({by: [str(key[0])], "content": [out.getvalue()]})
+
+    return periods.select(by, order, *columns).groupBy(by).applyInPandas(encode, f"{by} string, content binary")
+
+
+def write_arrays(periods: DataFrame, path: str, columns: list[str], kind: str = "npy") -> None:
+    """One <study_id>.npy or .npz per study below path, a folder that executors share. Files appear whole, so tasks can run again;
+    existing output is an error."""
+
+    def write_rows(rows) -> None:
+        for row in rows:
+            name = os.path.join(path, f"{row.study_id}.{kind}")
+            part = f"{name}.{os.urandom(8).hex()}"
+            with open(part, "wb") as file:
+                file.write(row.content)
+            os.replace(part, name)
+
+    os.makedirs(path)
+    encoded_arrays(periods, columns, kind).foreachPartition(write_rows)
+
+
+WRITERS = {"ids": write_ids, "tsv": write_tsv, "hyp": write_hyp, "npy": lambda df, path: write_arrays(df, path, ["stage"]), "npz": lambda df, path: write_arrays(df, path, ["stage"], "npz"), "parquet": lambda df, path: df.write.mode("error").parquet(path)}
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:

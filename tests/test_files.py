@@ -76,3 +76,51 @@ def test_discovery(spark, tmp_path):
         (tmp_path / study / name).write_bytes(b"x")
     got = files.discovered(spark, str(tmp_path), folder=r"s\d", file=r"psg\..*").collect()
     assert [r.study_id for r in got] == ["s1"]
+
+
+def test_headers_and_annotations(spark, tmp_path):
+    texts = b"+0\x14\x14\x00+0\x1530\x14Sleep stage W\x14\x00+30\x1560.5\x14Sleep stage 2\x14\x00+7\x14note\x14\x00".ljust(160, b"\x00")
+    data = np.stack([np.arange(80), np.frombuffer(texts, "<i2")])
+    (tmp_path / "a.edf").write_bytes(edf(["C3", "EDF Annotations"], 80, data))
+    (tmp_path / "b.edf").write_bytes(b"0")
+    good, bad = files.good_and_bad(files.read_edf_headers(spark, str(tmp_path)))
+    assert [(r.channel, r.sample_rate, r.n_samples) for r in good.collect()] == [("C3", 80.0, 80)]
+    assert bad.count() == 1
+    assert [r.channel for r in files.good_and_bad(files.read_edf(spark, str(tmp_path)))[0].collect()] == ["C3"]
+    good, _ = files.good_and_bad(files.read_edf_annotations(spark, str(tmp_path)))
+    assert sorted((r.init_sec, r.duration_sec, r.stage) for r in good.collect()) == [(0.0, 30.0, "Sleep stage W"), (7.0, None, "note"), (30.0, 60.5, "Sleep stage 2")]
+
+
+def test_xml(spark, tmp_path):
+    event = "<ScoredEvent><EventType>{}</EventType><EventConcept>{}</EventConcept><Start>{}</Start><Duration>{}</Duration></ScoredEvent>"
+    events = event.format("Stages|Stages", "Wake|0", 0, 60) + event.format("Respiratory|R", "Hypopnea|H", 5, 11.5) + event.format("Stages|Stages", "Stage 2 sleep|2", 60, 30)
+    (tmp_path / "s1.xml").write_text(f"<PSGAnnotation><ScoredEvents>{events}</ScoredEvents></PSGAnnotation>")
+    assert sorted(map(tuple, files.read_xml(spark, str(tmp_path)).collect())) == [("s1", 0.0, 60.0, "Wake"), ("s1", 60.0, 30.0, "Stage 2 sleep")]
+
+
+def test_pairs(spark, tmp_path):
+    for study, name in (("s1", "a.edf"), ("s1", "a.ids"), ("s2", "b.edf"), ("s3", "c.edf"), ("s3", "d.edf"), ("s3", "c.ids"), ("t1", "e.edf")):
+        (tmp_path / study).mkdir(exist_ok=True)
+        (tmp_path / study / name).write_bytes(b"x")
+    got = {r.study_id: (r.psg and r.psg[-5:], r.hyp and r.hyp[-5:], r.error) for r in files.paired(spark, str(tmp_path), r"s\d").collect()}
+    assert got == {"s1": ("a.edf", "a.ids", None), "s2": ("b.edf", None, "0 files match hyp"), "s3": (None, "c.ids", "2 files match psg")}
+
+
+def test_array_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 2, [0.5, 0.25]), ("a", 0, 1, [1.0, 0.0]), ("b", 0, 4, [0.0, 1.0])], "study_id string, period_idx int, stage int, scores array<double>")
+    files.write(rows, str(tmp_path / "npy"), "npy")
+    good, bad = files.good_and_bad(files.read_stage_arrays(spark, str(tmp_path / "npy")))
+    assert bad.count() == 0
+    assert sorted((r.path[-5:], r.period_idx, r.stage) for r in good.collect()) == [("a.npy", 0, 1), ("a.npy", 1, 2), ("b.npy", 0, 4)]
+    files.write_arrays(rows, str(tmp_path / "npz"), ["stage", "scores"], "npz")
+    assert sorted(p.name for p in (tmp_path / "npz").iterdir()) == ["a.npz", "b.npz"]
+    with np.load(tmp_path / "npz" / "a.npz") as got:
+        assert got["stage"].tolist() == [[1], [2]]
+        assert got["scores"].tolist() == [[1.0, 0.0], [0.5, 0.25]]
+
+
+def test_evaluation_text(spark, tmp_path):
+    per = spark.createDataFrame([("a", "mean", 0.512345), ("a", "cls 0", 1.0), ("b", "mean", 0.25)], "study_id string, class string, value double")
+    files.write_evaluation_text(per, str(tmp_path / "t"))
+    lines = [r.value.split() for r in spark.read.text(str(tmp_path / "t")).collect()]
+    assert lines == [["cls", "0", "mean"], ["a", "1.0000", "0.5123"], ["b", "NaN", "0.2500"]]
