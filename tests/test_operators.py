@@ -57,6 +57,22 @@ def test_filters(spark):
         signals.band_pass_taps(rate, 60, 70, 61)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 7, 1000])
+def test_recursion_by_sample(n):
+    x, b, a = np.random.default_rng(n).normal(size=n), (0.9, -1.2, 0.7), (-1.2, 0.8)
+    want = [0.0, 0.0]
+    before = [0.0, 0.0, *x]
+    for i in range(n):
+        want.append(b[0] * before[i + 2] + b[1] * before[i + 1] + b[2] * before[i] - a[0] * want[-1] - a[1] * want[-2])
+    np.testing.assert_allclose(signals.recursed(x, b, a), want[2:], rtol=1e-9, atol=1e-12)
+
+
+def test_recursion_gap():
+    x = np.ones(50)
+    x[20] = np.nan
+    assert np.isnan(signals.recursed(x, (1, 0, 0), (-0.5, 0.2))).tolist() == [False] * 20 + [True] * 30
+
+
 def test_registry(spark):
     steps = [{"name": "clip_noisy_values", "min_max_times_global_iqr": 1.0, "key": ["k"]}, {"name": "MinMaxScaler", "key": ["k"]}]
     got = xs(registry.applied(samples(spark, [0, 1, 2, 3, 100]), steps))
