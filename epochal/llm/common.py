@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochal.sources.shared import discard, materialize, new_path, scratch, shared_dir
 
-__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "scratch", "shared_dir", "spread", "table", "unused", "utf8_size"]
+__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "salted_join", "scratch", "shared_dir", "spread", "table", "unused", "utf8_size"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +49,12 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def salted_join(rows: DataFrame, one: DataFrame, on: list[str], deal: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows joined with a table of one row per key. The rows of a key are dealt over as many parts by a hash of the column deal, so
+    none is joined in one task; only keys with many rows have many parts."""
+    (salt,) = unused(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
+    parts = salted.select(*on, salt).distinct().join(one, on, how)
+    return salted.join(parts, [*on, salt]).drop(salt)

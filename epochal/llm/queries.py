@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm import ann, bpe, langid, licenses, mixing, repeats, secrets, sharding, simhash, topk
+from epochal.llm import ann, bpe, langid, licenses, lines, mixing, repeats, secrets, sharding, simhash, spelling, topk, tries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -19,8 +19,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
     "op10_pivots": topk.op10_pivots,
+    "op11_line_dedup": lines.op11_line_dedup,
+    "op12_prefix_trie": tries.op12_prefix_trie,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.op9_sql(), "op10_pivots": topk.op10_sql()}
+    return {
+        "op9_licenses": licenses.op9_sql(),
+        "op10_pivots": topk.op10_sql(),
+        "op11_line_dedup": lines.op11_sql(),
+        "op12_prefix_trie": tries.op12_sql(),
+        "op13_spelling": spelling.op13_sql(),
+    }
