@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
-_inside: list[str] = []  # folders of the scratch blocks that are open
+_inside: ContextVar[str | None] = ContextVar("scratch", default=None)  # folder of the innermost open scratch block of this thread
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{_inside[-1] if _inside else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_inside.get() or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is written inside the block to new paths is deleted at its end, when its result must have been written elsewhere."""
     folder = new_path(spark, "scratch")
-    _inside.append(folder)
+    before = _inside.set(folder)
     try:
         yield
     finally:
-        _inside.remove(folder)
+        _inside.reset(before)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
