@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochal.sources.shared import discard, materialize, new_path, scratch, shared_dir
 
-__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "salted_join", "scratch", "shared_dir", "spread", "table", "unused", "utf8_size"]
+__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "row_hash", "salted_join", "scratch", "shared_dir", "spread", "table", "unused", "utf8_size"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,3 +58,9 @@ def salted_join(rows: DataFrame, one: DataFrame, on: list[str], deal: str, how:
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
     parts = salted.select(*on, salt).distinct().join(one, on, how)
     return salted.join(parts, [*on, salt]).drop(salt)
+
+
+def row_hash(docs: DataFrame, seed: int = 0) -> Column:
+    """A hash of the text and all other columns, of whatever type."""
+    others = [c for c in docs.columns if c != "text"]
+    return F.xxhash64(F.lit(seed), "text", F.to_json(F.struct(*others)) if others else F.lit(""))

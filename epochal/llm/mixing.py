@@ -8,8 +8,9 @@ beyond its number of slots, counted over the shards in order, doesn't count, and
 r-th slot of a source takes the block at place r of that source's own index permutations, one permutation per pass; blocks are then
 joined by index. Permutations are computed per row (swap-or-not shuffles), so there is no sort by random number, and reruns agree.
 
-Defined cases: a null text has no words and is never taken; a null source is a source, last in order; rows equal in doc_id,
-source and size are counted before any shuffle and unfolded afterwards; an empty table gives an empty result.
+Defined cases: a text without a word (null, empty or blank) is never taken, and a source of such texts has target 0 (so the targets of a
+table without words are all 0); a null source is a source, last in order; rows equal in doc_id, source and size are counted before any
+shuffle and unfolded afterwards; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epochal.llm.common import WORD, exploded_copies, materialize, table, unused
+from epochal.llm.common import WORD, exploded_copies, materialize, row_hash, table, unused
 
 BLOCK_WORDS = 128
 MOST_PASSES = 3
@@ -80,7 +81,7 @@ def targets(sizes: DataFrame, seed: int = 0, most: int = MOST_PASSES) -> DataFra
 def block_at(place: Column, seed: int, number: Column | None = None, inverse: bool = False) -> Column:
     """The block at a place of a pass (by default the last one) over a source's blocks, or the place of a block."""
     number = F.col("passes") if number is None else number
-    return permuted(place, F.col("blocks"), F.lit(seed + 1), F.col("key"), number, inverse=inverse)
+    return permuted(place, F.greatest("blocks", F.lit(1)), F.lit(seed + 1), F.col("key"), number, inverse=inverse)
 
 
 def source_key() -> Column:
@@ -161,7 +162,9 @@ def resampled(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs as the mix has them: each document as often as the mix takes its words, rounded up or down. The documents of a source are
     ordered by size and the parts that rounding cuts off are summed along that order; where the sum passes a whole number, a document
     is rounded up. So a source's words come within about its largest document of its target. The columns stay. Rows with one
-    doc_id and source are one group here: all are taken equally often, and a hash says which of them are rounded up."""
+    doc_id and source are one group here: all are taken equally often, and a hash of their content says which of them are rounded up.
+    Of rows that are equal in all columns so many are rounded up as their number and the hash ask, and it doesn't matter which; so
+    no draw depends on the order of rows."""
     one = mixed(docs, seed).withColumn("key", source_key()).groupBy("doc_id", "source", "key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("n"))
     one = one.filter("taken > 0").withColumn("times", F.expr("taken div size"))
     over = (F.col("taken") - F.col("times") * F.col("size")) * F.col("n") * F.lit(float(UNIT)) / F.col("size")
@@ -174,14 +177,18 @@ def resampled(docs: DataFrame, seed: int = 0) -> DataFrame:
     begin = F.col("before") + F.sum("over").over(inside) - F.col("over")
     up = F.expr(f"(begin + over) div {UNIT}") - F.expr(f"begin div {UNIT}")
     one = one.join(parts, ["key", "step", "part"]).withColumn("begin", begin).withColumn("up", up)
-    i, s, times, n, more, copy = unused(docs, "id", "source_of", "times", "n", "up", "copy")
+    i, s, times, n, more, copy, row, like = unused(docs, "id", "source_of", "times", "n", "up", "copy", "row", "like")
     one = one.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("times").alias(times), F.col("n").alias(n), F.col("up").alias(more))
     kept = docs.join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)))
-    chance = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(UNIT)) / float(UNIT)
-    whole = F.col(more) >= F.col(n)
-    rounded = F.when(F.col(n) == 1, F.col(more)).when(whole | (chance < F.col(more) / F.col(n)), 1).otherwise(0)
-    kept = kept.withColumn(times, F.col(times) + rounded).filter(F.col(times) > 0)
-    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
+    alone = kept.filter(F.col(n) == 1).select(F.struct(*docs.columns).alias(row), (F.col(times) + F.col(more)).alias(times))
+    same = kept.filter(F.col(n) > 1).withColumn(row, F.struct(*docs.columns)).withColumn(like, F.struct(row_hash(docs, 0), row_hash(docs, 1)))
+    same = same.groupBy(i, s, times, n, more, like).agg(F.first(row).alias(row), F.count("*").alias(copy))
+    chance = F.pmod(F.xxhash64(like, F.lit(seed)), F.lit(UNIT)) / float(UNIT)
+    whole = F.col(copy) * F.least(more, n)
+    ups = F.expr(f"`{copy}` * least(`{more}`, `{n}`) div `{n}`") + F.when(whole % F.col(n) > chance * F.col(n), 1).otherwise(0)
+    same = same.select(row, (F.col(times) * F.col(copy) + ups).alias(times))
+    taken = exploded_copies(alone.unionByName(same).filter(F.col(times) > 0), times, copy)
+    return taken.select(f"{row}.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

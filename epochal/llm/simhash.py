@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from epochal.llm.common import discard, materialize, spread, table, unused
+from epochal.llm.common import discard, materialize, row_hash, spread, table, unused
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: First bits and lengths of the blocks, how many of a block's first bits carry the Hamming code, and how far a fingerprint goes.
@@ -288,7 +288,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     above. The columns stay. Rows are numbered and written once, and the numbers of those that stay are joined."""
     (number,) = unused(docs, "number")
     numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    of_text = spread(numbered.select("doc_id", F.xxhash64("text").alias("digest"), F.xxhash64(*docs.columns).alias("all"), F.col(number).alias("number"), "text"))
+    of_text = spread(numbered.select("doc_id", F.xxhash64("text").alias("digest"), row_hash(docs).alias("all"), F.col(number).alias("number"), "text"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "all", "number"))
     first = joined(of_text, "doc_id", "digest", "all", "number").groupBy("root").agg(least["number"].alias(number))
     return numbered.join(first.select(number).hint("merge"), number, "left_semi").select(docs.columns)

@@ -121,3 +121,32 @@ def test_names_that_clash(spark, odd):
     named = odd.withColumn("id", F.lit("x")).withColumn("times", F.lit("y")).withColumn("COPY", F.lit("z"))
     out = mixing.resampled(named)
     assert out.columns == named.columns and {(r.id, r.times, r.COPY) for r in out.collect()} == {("x", "y", "z")}
+
+
+def test_sources_without_words(spark):
+    """Null, empty and blank texts, with and without another source, and no words at all."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blank = [(1, None, "z"), (2, None, "z"), (3, "", "y"), (4, " \t\n", "x"), (5, None, None)]
+    for docs in (blank, [*blank, (6, "one two three", "a")]):
+        got = {r.doc_id: r for r in mixing.mixed(frame(docs)).collect()}
+        assert len(got) == len(docs)
+        assert all((got[i].size, got[i].source_size, got[i].target, got[i].taken) == (0, 0, 0.0, 0) for i in range(1, 6))
+        assert len(docs) == 5 or (got[6].target, got[6].taken) == (3.0, 3)
+        assert sorted(r.doc_id for r in mixing.resampled(frame(docs)).collect()) == [6] * (len(docs) - 5)
+
+
+def test_draws_do_not_depend_on_the_order_of_rows(spark):
+    """Rows of one doc_id and source, some of them equal in everything, in other orders and partitions."""
+    rows = [(i % 3, "w " * (20 + i % 2), f"s{i % 2}", {"a": i % 4}) for i in range(60)] + [(7, "x " * 900, "s2", {"a": 1})] * 5
+    made = []
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[20:] + rows[:20], 7)):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, more map<string,int>").repartition(parts)
+        made.append(sorted((r.doc_id, r.text, r.source, r.more["a"]) for r in mixing.resampled(docs).collect()))
+    assert made[0] == made[1] == made[2] and made[0]
+    size, out = Counter(), Counter()
+    for i, t, s, _ in rows:
+        size[s] += t.count(" ")
+    for i, t, s, _ in made[0]:
+        out[s] += t.count(" ")
+    want = levels(size)
+    assert all(abs(out[s] - want[s]) <= 900 for s in size)

@@ -95,6 +95,30 @@ def test_stages_take_odd_tables(spark, odd, none):
                 assert docs.columns == odd.columns
 
 
+def test_nested_columns_stay(spark, odd):
+    """MAP, ARRAY and STRUCT columns pass all stages, and rows that differ in them alone are near-duplicates."""
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumn("m", F.create_map(F.lit("k"), F.col("size"))).withColumn("a", F.array("key", "live")).withColumn("st", F.struct("fp", F.create_map(F.lit("k"), F.col("doc")).alias("m")))
+    docs = docs.unionByName(docs.withColumn("m", F.create_map(F.lit("k"), F.lit(8).cast("long"))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        assert made.schema.simpleString() == docs.schema.simpleString()
+        docs = materialize(made, "t")
+    rows = docs.collect()
+    assert rows and all(r.a == ["key", "live"] and r.st.m == {"k": 7} for r in rows)
+
+
+def test_two_pipelines_at_once(spark):
+    """Each thread has its own scratch folder, and neither deletes the other's."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    one = lambda _: sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect())
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(one, range(2))
+    assert first == second and first
+
+
 def test_entry_without_this_subpackage(tmp_path):
     root = Path(corpus_pipeline.__file__).parent
     for p in ("epochal", "__spark_entry__.py"):
