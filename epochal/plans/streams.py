@@ -45,3 +45,14 @@ SELECT * FROM c WHERE run < (SELECT max(d.run) FROM c d WHERE d.user_id = c.user
 def stream_runs(spark, sf_dir):
     """Closed runs; the last run of each user is still open."""
     return epochs.drained(epochs.runs(epochs.events(spark, sf_dir)), "append")
+
+
+@query("""WITH w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1 hour' AS w FROM events), e AS (SELECT events.*, w FROM events, w WHERE ts <= w),
+f AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER o AND ts <= lag(ts) OVER o + INTERVAL '6 hours' THEN 0 ELSE 1 END AS turn FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f),
+c AS (SELECT user_id, event_type AS stage, run, epoch_us(min(ts)) AS start, count(*) AS n, max(ts) + INTERVAL '6 hours' <= max(w) AS idle FROM r GROUP BY 1, 2, 3)
+SELECT user_id, stage, start, n FROM c WHERE idle OR run < (SELECT max(d.run) FROM c d WHERE d.user_id = c.user_id)""")
+def stream_ordered_runs(spark, sf_dir):
+    """Runs that are closed by another type or by six hours of silence, as far as the watermark has come."""
+    with epochs.rocksdb(spark):
+        return epochs.drained(epochs.ordered_runs(epochs.events(spark, sf_dir), "1 hour", 6 * 3600), "append")

@@ -7,10 +7,13 @@ TIMESTAMP for watermarks, so timestamps without zone are cast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from epochal.sources.shared import new_path
 
@@ -77,6 +80,79 @@ def runs(stream: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, RUN, "stage string, run long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+class OrderedRuns(StatefulProcessor):
+    """Of one user: rows wait until the watermark has passed them, and are then taken in event order. State is the waiting rows, the open
+    run, and one timer: for the first waiting row, or else for the end of the open run. A user without rows leaves no state."""
+
+    def __init__(self, idle: int):
+        self.idle = idle  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "stage string, start long, n long, last long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, event_type string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [x for frame in rows for x in frame[["us", "event_id", "event_type"]].itertuples(index=False, name=None)]
+        self.waiting.appendList([(int(us), int(i), str(kind)) for us, i, kind in new])
+        first = min(us for us, _, _ in new) // 1000 + 1
+        timer = next(self.handle.listTimers(), None)
+        if timer is None or first < timer:
+            self.wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        run, closed = tuple(self.open.get()) if self.open.exists() else None, []
+        for us, _, kind in due:
+            if run and (kind != run[0] or us > run[3] + self.idle):
+                closed.append(run)
+                run = None
+            run = (kind, us if run is None else run[1], (run[2] if run else 0) + 1, us)
+        if run and run[3] + self.idle <= now:
+            closed.append(run)
+            run = None
+        self.waiting.put(later) if later else self.waiting.clear()
+        self.open.update(run) if run else self.open.clear()
+        if later or run:
+            self.wake((later[0][0] if later else run[3] + self.idle) // 1000 + 1)
+        return iter([pd.DataFrame([(key[0], stage, start, n) for stage, start, n, _ in closed], columns=["user_id", "stage", "start", "n"])] if closed else [])
+
+    def wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_runs(stream: DataFrame, late: str, idle_seconds: int) -> DataFrame:
+    """user_id, stage, start (microseconds of its first event), n: runs of equal event types per user in event order, however rows
+    arrive within the watermark. A run ends with another type, or after so long without an event; both are known when the watermark
+    has passed them. Start it inside rocksdb(spark): timers need that state store."""
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "event_type")
+    return rows.groupBy("user_id").transformWithStateInPandas(OrderedRuns(idle_seconds * 1_000_000), "user_id long, stage string, start long, n long", "append", "eventTime")
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, beside the executor's heap."""
+    before = {k: spark.conf.get(k) for k in ROCKSDB}
+    try:
+        for k, v in ROCKSDB.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives once all that is there now is processed: for complete mode the last result, else all rows."""
     spark = stream.sparkSession

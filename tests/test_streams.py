@@ -57,3 +57,26 @@ def test_runs_across_triggers(fed):
         files.append(rows[::-1])  # the order within a trigger doesn't matter
     got = sorted((r.run, r.stage, r.n) for r in epochs.drained(epochs.runs(fed(*files)), "append").collect())
     assert got == [(1, "a", 2), (2, "b", 4), (3, "a", 2), (4, "b", 2)]  # the last one is open
+
+
+def test_ordered_runs(fed, spark):
+    """Rows out of order within and across triggers give the runs of the batch; late rows go; idle runs close by timer and leave no state."""
+    kinds = "aabbbaab" + "ccc" + "a"
+    times = [0, 1, 2, 3, 4, 5, 6, 7, 60, 61, 62, 200]  # minutes; more than 30 minutes of silence ends a run
+    rows = [(i, 7, k, 1.0, at(m)) for i, (k, m) in enumerate(zip(kinds, times))]
+    other = [(100, 8, "x", 1.0, at(3)), (101, 8, "x", 1.0, at(5))]
+    stream = fed([rows[3], rows[0], other[1]], [rows[2], rows[5], rows[1]], [rows[4], other[0], rows[7]], [rows[6], rows[9]], [rows[10], rows[8]], [(900, 7, "z", 1.0, at(64)), rows[11]], [(902, 9, "end", 1.0, at(400))], [(901, 7, "late", 1.0, at(65)), (903, 9, "end", 1.0, at(800))])
+    with epochs.rocksdb(spark):
+        got = epochs.drained(epochs.ordered_runs(stream, "10 minutes", 1800), "append").collect()
+    found = sorted((r.user_id, (r.start - int(at(0).timestamp() * 1e6)) // 60_000_000, r.stage, r.n) for r in got)
+    assert found == [(7, 0, "a", 2), (7, 2, "b", 3), (7, 5, "a", 2), (7, 7, "b", 1), (7, 60, "c", 3), (7, 64, "z", 1), (7, 200, "a", 1), (8, 3, "x", 2), (9, 400, "end", 1)]
+
+
+def test_ordered_runs_bound_their_state(fed, spark, tmp_path):
+    """What is done leaves the state store: only the last user's waiting row, and its timer, are there at the end."""
+    files = [[(100 * k + u, 10 * k + u, "a", 1.0, at(90 * k, u)) for u in range(5)] for k in range(4)] + [[(1000, 99, "a", 1.0, at(1000))]]
+    with epochs.rocksdb(spark):
+        query = epochs.ordered_runs(fed(*files), "1 minute", 60).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(kept) > kept[-1] and kept[-1] <= 4
