@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochal.operators.ordering import numbered
+from epochal.operators.ordering import numbered_by_digest
 
 
 def shuffled_key(key: str, seed: int) -> Column:
@@ -25,7 +25,7 @@ def sizes(n: int, test: float, val: float, most_test: int | None = None, most_va
 
 def assigned(subjects: DataFrame, key: str, test: float, val: float, seed: int = 0) -> DataFrame:
     """subjects with a column split. One row per subject is ordered; records join it afterwards."""
-    rows = numbered(subjects, "nth", shuffled_key(key, seed))
+    rows = numbered_by_digest(subjects, "nth", shuffled_key(key, seed))
     n_test, n_val = F.ceil(F.col("nth_total") * test), F.ceil(F.col("nth_total") * val)
     split = F.when(F.col("nth") <= n_test, "test").when(F.col("nth") <= n_test + n_val, "val").otherwise("train")
     return rows.withColumn("split", split).drop("nth", "nth_total")
@@ -33,7 +33,7 @@ def assigned(subjects: DataFrame, key: str, test: float, val: float, seed: int =
 
 def folds(subjects: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """subjects with a column fold from 0; the first n mod k folds have one more."""
-    rows = numbered(subjects, "nth", shuffled_key(key, seed))
+    rows = numbered_by_digest(subjects, "nth", shuffled_key(key, seed))
     larger = F.expr(f"(nth_total % {k}) * (nth_total div {k} + 1)")
     fold = F.when(F.col("nth") <= larger, F.expr(f"(nth - 1) div (nth_total div {k} + 1)")).otherwise(F.expr(f"nth_total % {k}") + F.floor((F.col("nth") - 1 - larger) / F.expr(f"nth_total div {k}")))
     return rows.withColumn("fold", fold.cast("int")).drop("nth", "nth_total")

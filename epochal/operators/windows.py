@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochal.operators.ordering import running
+from epochal.operators.ordering import permuted, running_by_number
 
 
 def sized(periods: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def study_sizes(periods: DataFrame) -> DataFrame:
 def cumulative(sizes: DataFrame, margin: int = 0) -> DataFrame:
     """study_id, n, usable, cum: windows of each study and their running sum in study order. One row per study."""
     usable = sizes.withColumn("usable", F.greatest(F.col("n") - 2 * margin, F.lit(0)))
-    return running(usable, "cum", F.col("usable").cast("bigint"), "study_id").drop("cum_total")
+    return running_by_number(usable, "cum", F.col("usable").cast("bigint"), "study_id").drop("cum_total")
 
 
 def located(sizes: DataFrame, batch: int, margin: int) -> DataFrame:
@@ -56,3 +56,20 @@ def located(sizes: DataFrame, batch: int, margin: int) -> DataFrame:
     first, last = F.ceil(F.col("before") / batch), F.expr(f"(cum - 1) div {batch}")
     rows = places.filter(first <= last).withColumn("batch", F.explode(F.sequence(first, last)))
     return rows.select("batch", "study_id", (F.col("batch") * batch - F.col("before") + margin).alias("center"))
+
+
+def epoch_order(sizes: DataFrame, margin: int, key: str, readers: int, reader: int | None = None) -> DataFrame:
+    """reader, place, study_id, center: every window of an epoch once, shuffled by the key, in a contiguous run of places for each reader.
+    A place is taken to a window by a keyed bijection, and a window to its study by sums of the studies' windows, met in cells
+    of about a study's length. So nothing is sorted, and a reader's slice (reader) is made without those of the others."""
+    spark, cum = sizes.sparkSession, cumulative(sizes, margin).filter("usable > 0")
+    total, studies = cum.agg(F.coalesce(F.sum("usable"), F.lit(0)), F.count("*")).first()
+    cell = max(1, total // max(1, studies))
+    first = lambda r: -(-r * total // readers)
+    low, high = (0, total) if reader is None else (first(reader), first(reader + 1))
+    places = spark.range(low, high).select(F.col("id").alias("place"), F.expr(f"cast(id * {readers} div {max(total, 1)} as int)").alias("reader"))
+    places = places.withColumn("w", permuted(F.col("place"), max(total, 1), key)).withColumn("cell", F.expr(f"w div {cell}"))
+    begins = cum.withColumn("before", F.col("cum") - F.col("usable"))
+    begins = begins.withColumn("cell", F.explode(F.sequence(F.expr(f"before div {cell}"), F.expr(f"(cum - 1) div {cell}"))))
+    met = places.join(begins, "cell").filter((F.col("w") >= F.col("before")) & (F.col("w") < F.col("cum")))
+    return met.select("reader", "place", "study_id", (F.col("w") - F.col("before") + margin).alias("center"))

@@ -96,7 +96,7 @@ def prefix_groups(spark, sf_dir):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(c_custkey AS VARCHAR), '3'))) AS nth FROM customer")
 def seeded_order(spark, sf_dir):
     """A shuffle: all rows with their places in it."""
-    return ordering.numbered(subjects(spark, sf_dir), "nth", splits.shuffled_key("c_custkey", 3)).drop("nth_total")
+    return ordering.numbered_by_digest(subjects(spark, sf_dir), "nth", splits.shuffled_key("c_custkey", 3)).drop("nth_total")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '5'))) AS r FROM documents) WHERE r <= 3")
@@ -134,6 +134,37 @@ def balanced_batch(spark, sf_dir):
     return sampling.balanced_periods(t.periods(spark, sf_dir), 64, 1)
 
 
+CLASS_WEIGHTS = {0: 1.0, 1: 1.0, 2: 2.0, 3: 1.0, 4: 3.0}
+_until = [sum(list(CLASS_WEIGHTS.values())[: c + 1]) / sum(CLASS_WEIGHTS.values()) for c in range(5)]
+_class = "CASE " + " ".join(f"WHEN {uniform_sql(2, 'draw')} < {x!r} THEN {c}" for c, x in enumerate(_until)) + " ELSE 4 END"
+
+
+@query(f"""WITH {t.PERIODS}, sets AS (SELECT *, concat('d', study_id % 3) AS dataset, count(*) OVER (PARTITION BY study_id) AS n FROM periods),
+sizes AS (SELECT dataset, count(*) AS n FROM sets GROUP BY 1), prob AS (SELECT dataset, 0.5 * n / CAST(sum(n) OVER () AS DOUBLE) + 0.5 / count(*) OVER () AS p FROM sizes),
+cum AS (SELECT dataset, p, sum(p) OVER (ORDER BY dataset) AS cum, row_number() OVER (ORDER BY dataset DESC) AS last FROM prob),
+draws AS (SELECT draw, {uniform_sql(1, "draw")} AS u, {_class} AS class FROM (SELECT unnest(range(1000)) AS draw)),
+one AS (SELECT draw, dataset, class FROM draws JOIN cum ON u >= cum - p AND (u < cum OR last = 1)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY study_id, stage ORDER BY period_idx) - 1 AS place FROM sets WHERE n >= 5),
+held AS (SELECT dataset, stage, study_id, n, count(*) AS k, row_number() OVER (PARTITION BY dataset, stage ORDER BY md5(concat_ws('|', CAST(study_id AS VARCHAR), '1'))) AS nth, count(*) OVER (PARTITION BY dataset, stage) AS studies FROM placed GROUP BY dataset, stage, study_id, n),
+two AS (SELECT draw, one.dataset, class, study_id, n, floor({uniform_sql(4, "draw")} * k) AS place FROM one JOIN held ON held.dataset = one.dataset AND stage = class AND nth = floor({uniform_sql(3, "draw")} * studies) + 1),
+three AS (SELECT two.*, period_idx + CAST(floor({uniform_sql(5, "draw")} * 5) AS INTEGER) - 2 AS center FROM two JOIN placed ON placed.study_id = two.study_id AND placed.stage = class AND placed.place = two.place)
+SELECT draw, dataset, CAST(class AS INTEGER) AS class, three.study_id, CAST(center AS INTEGER) AS center, CAST(o AS INTEGER) AS offset, stage FROM three, (SELECT unnest(range(5)) AS o) JOIN periods p ON p.study_id = three.study_id AND p.period_idx = least(greatest(center - 2, 0), n - 5) + o""")
+def weighted_batch(spark, sf_dir):
+    """Dataset, class, study, period and window of each draw."""
+    from epochal.operators import metrics
+
+    rows = t.periods(spark, sf_dir).withColumn("dataset", F.concat(F.lit("d"), F.col("study_id") % 3))
+    sizes = rows.groupBy("dataset").agg(F.count("*").alias("n"))
+    return sampling.weighted_windows(rows, metrics.sampling_probability(sizes), CLASS_WEIGHTS, 1000, 2, 1)
+
+
+@query(f"""WITH {CUM}, total AS (SELECT CAST(max(cum) AS BIGINT) AS total FROM cum), e AS (SELECT place, total, {ordering.permuted_sql("place", "total", "epoch 3")} AS w FROM (SELECT total, unnest(range(total)) AS place FROM total))
+SELECT CAST(place * 7 // total AS INTEGER) AS reader, place, study_id, CAST(w - (cum - usable) + 2 AS BIGINT) AS center FROM e JOIN cum ON w >= cum - usable AND w < cum""")
+def epoch_slices(spark, sf_dir):
+    """One shuffled epoch of all windows for seven readers."""
+    return windows.epoch_order(windows.study_sizes(t.periods(spark, sf_dir)), 2, "epoch 3", 7)
+
+
 @query(f"""WITH p AS (SELECT source AS dataset, 0.5 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) + 0.5 / count(*) OVER () AS p FROM documents GROUP BY 1),
 cum AS (SELECT dataset, p, sum(p) OVER (ORDER BY dataset) AS cum, row_number() OVER (ORDER BY dataset DESC) AS last FROM p), d AS (SELECT draw, {uniform_sql(1, "draw")} AS u FROM (SELECT unnest(range(1000)) AS draw))
 SELECT draw, dataset FROM d JOIN cum ON u >= cum - p AND (u < cum OR last = 1)""")

@@ -86,7 +86,8 @@ def file_regex(spark, sf_dir):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY CAST(right(c_name, 9) AS INTEGER)) AS nth FROM customer")
 def numeric_sort(spark, sf_dir):
     number = F.expr("cast(right(c_name, 9) as int)")
-    return ordering.numbered(t.table(spark, sf_dir, "customer").select("c_custkey", number.alias("number")), "nth", "number").select("c_custkey", "nth")
+    rows = t.table(spark, sf_dir, "customer").select("c_custkey", number.alias("number"))
+    return ordering.running_by_number(rows, "nth", F.lit(1).cast("long"), "number").select("c_custkey", "nth")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name LIMIT 10")
