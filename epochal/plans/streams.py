@@ -1,10 +1,13 @@
-"""Queries that run as streams over all events there are, and the batch SQL that they must equal."""
+"""Queries that run as streams over all events there are, or over archives laid out by study, and the batch SQL that they must equal."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochal.plans.registry import query
+from epochal.sources import archive
 from epochal.sources import tables as t
-from epochal.streaming import epochs
+from epochal.sources.shared import new_path
+from epochal.streaming import epochs, monitor
 
 START = "CAST(epoch(time_bucket(INTERVAL '{}', ts)) AS BIGINT)"
 
@@ -56,3 +59,29 @@ def stream_ordered_runs(spark, sf_dir):
     """Runs that are closed by another type or by six hours of silence, as far as the watermark has come."""
     with epochs.rocksdb(spark):
         return epochs.drained(epochs.ordered_runs(epochs.events(spark, sf_dir), "1 hour", 6 * 3600), "append")
+
+
+@query(f"WITH {t.PAIRS}, c AS (SELECT unnest(range(5)) AS class) SELECT CAST(class AS INTEGER) AS class, count(*) FILTER (truth = class AND pred = class) AS tp, count(*) FILTER (truth = class) AS relevant, count(*) FILTER (pred = class) AS selected FROM pairs, c GROUP BY class")
+def stream_counters(spark, sf_dir):
+    """Validation counters that a listener writes while a stream scores its rows."""
+    stage = t.label_map("event_type", {k: i for i, k in enumerate(t.STAGES)})
+    right = F.pmod(F.col("event_id") * 3 + F.floor("value"), F.lit(7)) < 4
+    rows = epochs.events(spark, sf_dir).select(stage.alias("truth"), F.when(right, stage).otherwise((stage + 1) % 5).alias("pred"))
+    path = new_path(spark, "counters")
+    with monitor.CounterLog(spark, "validation", path) as log:
+        log.awaited(monitor.counted(rows, 5, "validation").writeStream.format("noop").option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start())
+    return monitor.counters(spark, path)
+
+
+@query(f"WITH {t.PERIODS} SELECT a.study_id, a.period_idx, a.stage, round(b.value, 6) AS value, (SELECT count(*) FROM periods c WHERE c.study_id = a.study_id AND c.period_idx BETWEEN a.period_idx - 2 AND a.period_idx + 2 AND c.stage = a.stage) AS alike FROM periods a JOIN periods b USING (study_id, period_idx)")
+def study_archive(spark, sf_dir):
+    """Labels and signals as two archives by study, joined and seen through windows without a shuffle."""
+    rows, names = t.periods(spark, sf_dir), []
+    for part, column in (("labels", "stage"), ("signals", "value")):
+        path = new_path(spark, part)
+        names.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        archive.write_by_study(rows.select("study_id", "period_idx", column), names[-1], path, 8)
+    near = F.collect_list("stage").over(Window.partitionBy("study_id").orderBy("period_idx").rowsBetween(-2, 2))
+    labels, signals = (spark.table(n) for n in names)
+    labels = labels.withColumn("alike", F.size(F.filter(near, lambda x: x == F.col("stage"))).cast("long"))
+    return archive.joined(labels, signals).withColumn("value", F.round("value", 6))
