@@ -10,6 +10,8 @@ TYPES = ("EEG", "EOG", "EMG", "ECG")
 PREFIXES = {"EEG": "C|F|O|P|T|EEG", "EOG": "E1|E2|EOG|ROC|LOC", "EMG": "CHIN|EMG", "ECG": "ECG|EKG"}
 #: Scalp electrodes and the mastoid on the other side.
 MASTOIDS = {"C3": "A2", "C4": "A1", "F3": "A2", "F4": "A1", "O1": "A2", "O2": "A1"}
+#: Other names of the mastoids.
+ALSO = {"A1": "M1", "A2": "M2"}
 
 
 def name_of(spec: Column) -> Column:
@@ -45,3 +47,26 @@ def selected(signals: Column, names: list[str]) -> Column:
 
 def distinct_channels(groups: Column) -> Column:
     return F.array_distinct(F.flatten(groups))
+
+
+def referenced(there: Column) -> Column:
+    """Of a study's channel names, what to load: scalp channels as NAME-MASTOID where the study has the opposite mastoid under one of its
+    names and itself isn't one, others as they are, mastoids not by themselves. The order stays; nulls go; no channels give none."""
+    mastoids = [m for pair in ALSO.items() for m in pair]
+
+    def one(name: Column) -> Column:
+        first = reference_of(name)
+        second = F.element_at(F.create_map(*(F.lit(x) for p in ALSO.items() for x in p)), first)
+        found = F.get(F.filter(there, lambda c: F.upper(c).isin(*mastoids) & ((F.upper(c) == first) | (F.upper(c) == second))), F.lit(0))
+        return F.coalesce(F.concat(name, F.lit("-"), found), name)
+
+    return F.transform(F.filter(there, lambda c: c.isNotNull() & ~F.upper(c).isin(*mastoids)), one)
+
+
+def combinations(groups: Column) -> Column:
+    """Of an array of channel groups, one channel of each in every way, in the order of the groups. Of those with one set of channels the
+    first stays. A group without channels leaves nothing, no groups the one empty choice."""
+    empty = F.array(F.array().cast("array<string>"))
+    product = F.aggregate(groups, empty, lambda done, group: F.flatten(F.transform(done, lambda d: F.transform(group, lambda c: F.concat(d, F.array(c))))))
+    keys = F.transform(product, lambda c: F.to_json(F.array_sort(F.array_distinct(c))))
+    return F.filter(product, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)

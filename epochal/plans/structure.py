@@ -55,6 +55,39 @@ def channel_combos(spark, sf_dir):
     return t.table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, names))).alias("combination"))
 
 
+#: Channels that a study may have, by the numbers of its events.
+NAMES = ("C3", "C4", "O2", "E1", "E2", "A1", "M2", "F3")
+
+
+def study_channels(spark, sf_dir):
+    """study_id, names: the channels that each study has, in the order of their names. A study has a handful, whatever its events."""
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod("event_id", F.lit(len(NAMES) + 3)) + 1).cast("int"))
+    events = t.table(spark, sf_dir, "events").filter(F.pmod("event_id", F.lit(len(NAMES) + 3)) < len(NAMES))
+    return events.groupBy(F.col("user_id").alias("study_id")).agg(F.array_sort(F.collect_set(name)).alias("names"))
+
+
+STUDY_CHANNELS = "channels AS (SELECT DISTINCT user_id AS study_id, (['C3', 'C4', 'O2', 'E1', 'E2', 'A1', 'M2', 'F3'])[event_id % 11 + 1] AS name FROM events WHERE event_id % 11 < 8)"
+
+
+@query(f"""WITH {STUDY_CHANNELS}, rules(name, mastoid) AS (VALUES ('C3', 'M2'), ('C4', 'A1'), ('O2', 'A1'), ('F3', 'M2'))
+SELECT c.study_id, string_agg(CASE WHEN m.name IS NULL THEN c.name ELSE concat(c.name, '-', m.name) END, '+' ORDER BY c.name) AS loaded
+FROM channels c LEFT JOIN rules r ON c.name = r.name LEFT JOIN channels m ON m.study_id = c.study_id AND m.name = r.mastoid WHERE c.name NOT IN ('A1', 'M2') GROUP BY 1""")
+def study_references(spark, sf_dir):
+    """References by the mastoids that a study has; studies with no other channels load nothing."""
+    loaded = channels.referenced(F.col("names"))
+    return study_channels(spark, sf_dir).select("study_id", loaded.alias("l")).filter(F.size("l") > 0).select("study_id", F.array_join("l", "+").alias("loaded"))
+
+
+@query(f"""WITH {STUDY_CHANNELS}, pairs AS (SELECT a.study_id, a.name AS a, b.name AS b, row_number() OVER (PARTITION BY a.study_id, least(a.name, b.name), greatest(a.name, b.name)
+ORDER BY a.name, b.name) AS nth FROM channels a JOIN channels b ON a.study_id = b.study_id WHERE a.name IN ('C3', 'C4', 'E1') AND b.name IN ('C3', 'E1', 'E2'))
+SELECT study_id, concat(a, '+', b) AS combination FROM pairs WHERE nth = 1""")
+def study_combos(spark, sf_dir):
+    """Every choice of one channel of each group, of those that the study has."""
+    groups = F.array(*(F.array_intersect("names", F.array(*map(F.lit, group))) for group in (("C3", "C4", "E1"), ("C3", "E1", "E2"))))
+    chosen = study_channels(spark, sf_dir).select("study_id", F.explode(channels.combinations(groups)).alias("c"))
+    return chosen.select("study_id", F.array_join("c", "+").alias("combination"))
+
+
 @query("SELECT n_regionkey, array_to_string(list_sort(list_distinct(list(left(n_name, 1)))), ',') AS channels FROM nation GROUP BY 1")
 def distinct_channels(spark, sf_dir):
     groups = t.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.array(F.left("n_name", F.lit(1)))).alias("groups"))

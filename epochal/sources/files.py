@@ -33,16 +33,17 @@ def discovered(spark: SparkSession, root: str, folder: str = ".*", file: str = "
 
 
 def paired(spark: SparkSession, root: str, folder: str = ".*", psg: str = r".*\.edf", hyp: str = r".*\.(ids|tsv|hyp|xml|np[yz])") -> DataFrame:
-    """study_id, psg, hyp, error: of each matching directory, the one file that matches psg and the one that matches hyp. A directory that
-    holds none or several of either has an error and null paths in their place. Names that match both patterns count as psg."""
+    """study_id, folder, psg, hyp, error: of each matching directory, the one file that matches psg and the one that matches hyp. A directory
+    that holds none or several of either has an error and null paths in their place. Names that match both patterns count as psg. Directories
+    of one name in different places are studies of their own, told apart by folder, the whole path."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     is_psg = name.rlike(f"^(?:{psg})$")
     is_hyp = name.rlike(f"^(?:{hyp})$") & ~is_psg
-    found = discovered(spark, root, folder).groupBy("study_id")
+    found = discovered(spark, root, folder).groupBy("study_id", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"))
     found = found.agg(*(f(F.when(is_, F.col("path"))).alias(f"{n}{k}") for k, is_ in (("psg", is_psg), ("hyp", is_hyp)) for n, f in (("n_", F.count), ("", F.min))))
     alone = [F.when(F.col(f"n_{k}") == 1, F.col(k)).alias(k) for k in ("psg", "hyp")]
     error = F.concat_ws("; ", *(F.when(F.col(f"n_{k}") != 1, F.concat(F.col(f"n_{k}").cast("string"), F.lit(f" files match {k}"))) for k in ("psg", "hyp")))
-    return found.select("study_id", *alone, F.nullif(error, F.lit("")).alias("error"))
+    return found.select("study_id", "folder", *alone, F.nullif(error, F.lit("")).alias("error"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

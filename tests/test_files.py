@@ -106,6 +106,16 @@ def test_pairs(spark, tmp_path):
     assert got == {"s1": ("a.edf", "a.ids", None), "s2": ("b.edf", None, "0 files match hyp"), "s3": (None, "c.ids", "2 files match psg")}
 
 
+def test_pairs_of_equal_names(spark, tmp_path):
+    """Studies of one name in two datasets stay two."""
+    for dataset in "ab":
+        (tmp_path / dataset / "S1").mkdir(parents=True)
+        for name in ("x.edf", "x.ids"):
+            (tmp_path / dataset / "S1" / name).write_bytes(b"x")
+    got = files.paired(spark, str(tmp_path)).collect()
+    assert sorted((r.study_id, r.folder[-4:], r.psg[-10:], r.hyp[-10:], r.error) for r in got) == [("S1", f"{d}/S1", f"{d}/S1/x.edf", f"{d}/S1/x.ids", None) for d in "ab"]
+
+
 def test_array_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 2, [0.5, 0.25]), ("a", 0, 1, [1.0, 0.0]), ("b", 0, 4, [0.0, 1.0])], "study_id string, period_idx int, stage int, scores array<double>")
     files.write(rows, str(tmp_path / "npy"), "npy")
