@@ -1,19 +1,21 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word of a text gets a language. Its features are the word itself (the lexicon), its affixes and its n-grams, hashed
-into at most FEATURES weights per language (fewer where there are more than 64 languages, so that WEIGHTS bounds them all); transitions between the languages of neighbouring words are learned with them, by the
-gradient of the log-likelihood. Prediction runs forward-backward over all words of a text and sums the words' marginals, so a
+into at most FEATURES weights per language (fewer where there are more than 64 languages, so that WEIGHTS bounds them all); transitions
+between the languages of neighbouring words are learned with them, by the gradient of the log-likelihood. Prediction runs forward-backward over all words of a text and sums the words' marginals, so a
 text that switches languages gets the one of most of its words, and the score is that language's share.
 
 The field is trained on the driver on a bounded sample of labelled rows: SAMPLE in all, PER_LANGUAGE of a language at most, drawn by a
-hash of doc_id and text from the documents that are not held out, of every language (if there are more than SAMPLE, of the SAMPLE
-commonest). Of a document longer than LONGEST characters the sample has that many from a hashed place, and of each document up to
+hash of doc_id and text from the documents that are not held out, of every language (if there are more than LANGUAGES, of the LANGUAGES
+commonest, the bound of the sample's classes). Of a document longer than LONGEST characters the sample has that many from a hashed place, and of each document up to
 STRETCHES stretches of STRETCH words from all over it. Their labels are for whole documents, so training sequences splice stretches
 of different documents, which is what teaches the transitions. Everything else runs on all texts, whole: a word's features are
 taken from all its letters, however long it is.
 
-Forward-backward is exact for texts of any length: words are laid out in lanes of LANE words over all texts of a batch, each lane's
-transfer matrix is computed by itself, lanes are chained along each text, and the lanes' words are then filled in.
+Forward-backward is exact for texts of any length. With up to FEW languages, words are laid out in lanes of LANE words over all texts of a
+batch, each lane's transfer matrix is computed by itself, lanes are chained along each text, and the lanes' words are then filled in. With more
+languages a matrix would cost more than it saves: each text is one lane, and all texts' vectors take each step together. Either way memory
+is a few numbers per word and language, and a batch of texts ends where it has STATES of them (a longer text is a batch of its own).
 
 Defined cases: null texts and texts without a letter get und and score 0, as do all if there is nothing to learn from; a tie goes
 to the first language by name; repeated rows and ids are rows of their own; an empty table gives an empty result.
@@ -34,7 +36,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from epochal.llm.common import spread, table, unused
 
 #: Bounds of the labelled sample.
-SAMPLE, PER_LANGUAGE, LONGEST, STRETCHES, STRETCH = 32_000, 500, 20_000, 20, 24
+SAMPLE, PER_LANGUAGE, LANGUAGES, LONGEST, STRETCHES, STRETCH = 32_000, 500, 2_048, 20_000, 20, 24
+#: Languages up to which lanes are shorter than texts, and numbers per batch of texts.
+FEW, STATES = 16, 1 << 22
 FEATURES, WEIGHTS, LANE, EPOCHS, RATE, DECAY = 1 << 17, 1 << 23, 32, 3, 0.2, 1e-6
 #: Words and their characters that a worker remembers, characters of text split at once, and bytes of words hashed at once.
 REMEMBERED, KEPT, PIECE, HASHED = 400_000, 1 << 24, 1 << 20, 1 << 18
@@ -116,7 +120,7 @@ class Words:
         return self.scores
 
     def forget(self) -> None:
-        if len(self.numbers) > REMEMBERED or self.kept > KEPT:
+        if len(self.numbers) > REMEMBERED or self.kept > KEPT or self.scores.size > 4 * STATES:
             self.numbers, self.scores, self.kept = {}, self.scores[:0], 0
 
 
@@ -127,19 +131,21 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray)
     lengths = lengths[lengths > 0]
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
     move = np.exp(moves - moves.max())
-    per_text = -(-lengths // LANE)
+    lane = LANE if k <= FEW else int(lengths.max(initial=1))
+    per_text = -(-lengths // lane)
     lanes, text = int(per_text.sum()), np.repeat(np.arange(len(lengths)), per_text)
     first = np.cumsum(per_text) - per_text
     nth = np.arange(lanes) - first[text]
-    begin = (np.cumsum(lengths) - lengths)[text] + nth * LANE
-    size = np.minimum(LANE, lengths[text] - nth * LANE)
-    steps = [np.flatnonzero(size > t) for t in range(LANE)]
-
-    # each lane's transfer: from the language before it to that of its last word
-    through = np.repeat(np.eye(k)[None], lanes, axis=0)
-    for t, live in enumerate(steps):
-        if not len(live):
-            break
+    begin = (np.cumsum(lengths) - lengths)[text] + nth * lane
+    size = np.minimum(lane, lengths[text] - nth * lane)
+    by_size = np.argsort(-size, kind="stable")
+    live_at = np.searchsorted(-size[by_size], -np.arange(lane), side="left")  # how many lanes reach beyond a step
+
+    # the transfer of each lane of a text of several: from the language before it to that of its last word
+    several = k <= FEW and per_text.max(initial=0) > 1
+    through = np.repeat(np.eye(k)[None], lanes if several else 0, axis=0)
+    for t in range(lane if several else 0):
+        live = by_size[: live_at[t]]
         m = (through[live].reshape(-1, k) @ move).reshape(-1, k, k) * emit[begin[live] + t][:, None, :]
         through[live] = m / m.max(axis=(1, 2), keepdims=True)
 
@@ -159,19 +165,17 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray)
     # within lanes; the first word of a text has no move into it, and a uniform language before it is as good
     start = np.full((k, k), 1.0 / k)
     alpha, beta, opening = np.empty((n, k)), np.empty((n, k)), nth == 0
-    for t, live in enumerate(steps):
-        if not len(live):
-            break
+    for t in range(lane):
+        live = by_size[: live_at[t]]
         x = ahead[live] @ move if t else np.where(opening[live][:, None], ahead[live] @ start, ahead[live] @ move)
         x *= emit[begin[live] + t]
         x /= x.sum(axis=1, keepdims=True)
         ahead[live] = alpha[begin[live] + t] = x
-    for t in range(LANE - 1, -1, -1):
-        live = steps[t]
-        if len(live):
-            beta[begin[live] + t] = behind[live]
-            x = (behind[live] * emit[begin[live] + t]) @ move.T
-            behind[live] = x / x.sum(axis=1, keepdims=True)
+    for t in range(lane - 1, -1, -1):
+        live = by_size[: live_at[t]]
+        beta[begin[live] + t] = behind[live]
+        x = (behind[live] * emit[begin[live] + t]) @ move.T
+        behind[live] = x / x.sum(axis=1, keepdims=True)
     return alpha, beta, emit, move
 
 
@@ -191,12 +195,25 @@ def gradient(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray, truth:
     inside = np.ones(len(truth), bool)
     inside[np.cumsum(lengths[lengths > 0]) - 1] = False
     at = np.flatnonzero(inside)
-    pairs = alpha[at][:, :, None] * move[None] * (emit[at + 1] * beta[at + 1])[:, None, :]
-    push = -(pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    after = emit[at + 1] * beta[at + 1]
+    push = -move * ((alpha[at] / ((alpha[at] @ move) * after).sum(axis=1, keepdims=True)).T @ after)
     np.add.at(push, (truth[at], truth[at + 1]), 1)
     return pull, push
 
 
+def parts(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of the texts that have words, in runs of so many words at most; a longer text is a run of its own."""
+    run, held = [], 0
+    for i in np.flatnonzero(lengths).tolist():
+        if run and held + lengths[i] > most:
+            yield np.array(run)
+            run, held = [], 0
+        run.append(i)
+        held += lengths[i]
+    if run:
+        yield np.array(run)
+
+
 class Field:
     """languages, weights and moves."""
 
@@ -254,7 +271,7 @@ class Field:
 def trained_on(docs: DataFrame) -> Field:
     """The field for the documents that are not held out; see above for the sample's bounds."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Field([], np.zeros((1, 0)), np.zeros((0, 0)))
     most = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
@@ -294,10 +311,10 @@ def labelled(rows: DataFrame, field: Field, names: list[str]) -> DataFrame:
                 words = [seen.of(x.as_py() or "") for x in part.columns[-1]] if languages else [np.empty(0, np.int32)] * part.num_rows
                 lengths = np.array([len(w) for w in words])
                 best, score = np.full(len(words), -1), np.zeros(len(words))
-                if lengths.sum():
-                    found = marginals(seen.emissions()[np.concatenate(words)].astype(np.float64), moves, lengths)
-                    some = np.flatnonzero(lengths)
-                    share = np.add.reduceat(found, (np.cumsum(lengths) - lengths)[some]) / lengths[some][:, None]
+                scores = seen.emissions()
+                for some in parts(lengths, max(1, STATES // max(1, len(languages)))):
+                    found = marginals(scores[np.concatenate([words[i] for i in some])].astype(np.float64), moves, lengths[some])
+                    share = np.add.reduceat(found, np.cumsum(lengths[some]) - lengths[some]) / lengths[some][:, None]
                     best[some], score[some] = share.argmax(axis=1), np.minimum(share.max(axis=1), 1.0)
                 seen.forget()
                 found = [languages[i] if i >= 0 else "und" for i in best]

@@ -32,6 +32,42 @@ def test_marginals_are_exact():
         at += n
 
 
+def test_many_languages_in_bounded_memory():
+    """100 languages: marginals as by lanes and by the plain recursion, in a few numbers per word and language."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    k, lengths = 100, np.array([40, 1, 0, 200, 33])
+    scores, moves = draw.normal(size=(lengths.sum(), k)), draw.normal(size=(k, k))
+    got, at = langid.marginals(scores, moves, lengths), 0
+    for n in lengths[lengths > 0]:
+        e, m = np.exp(scores[at : at + n]), np.exp(moves)
+        a, b = [e[0] / e[0].sum()], [np.ones(k)]
+        for t in range(1, n):
+            a.append((a[-1] @ m) * e[t])
+            a[-1] /= a[-1].sum()
+            b.append(m @ (e[n - t] * b[-1]))
+            b[-1] /= b[-1].sum()
+        both = np.array(a) * np.array(b[::-1])
+        assert np.allclose(got[at : at + n], both / both.sum(axis=1, keepdims=True))
+        at += n
+    lengths = np.full(256, 1_000)
+    runs = list(langid.parts(lengths, langid.STATES // k))
+    assert np.concatenate(runs).tolist() == list(range(256))
+    longest = max(int(lengths[r].sum()) for r in runs)
+    scores = draw.normal(size=(longest, k))
+    tracemalloc.start()
+    langid.marginals(scores, moves, lengths[runs[0]])
+    langid.gradient(scores[:6144], moves, np.full(96, 64), np.zeros(6144, int))
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_runs_of_texts():
+    assert [r.tolist() for r in langid.parts(np.array([0, 3, 4, 9, 0, 1, 2]), 7)] == [[1, 2], [3], [5, 6]]
+    assert list(langid.parts(np.array([0, 0]), 7)) == list(langid.parts(np.array([], int), 7)) == []
+
+
 def likelihood(scores, moves, lengths, truth):
     """Of the true languages, by the forward recursion in logarithms."""
     out, at = 0.0, 0
