@@ -22,6 +22,11 @@ def drawn(df: DataFrame, key: str, column: str, transform: Callable[[Column], Co
     return out.withColumn("weight", F.when(hit, F.col("weight") * weight).otherwise(F.col("weight"))) if "weight" in df.columns else out
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row; inside a lambda of arrays it would be computed once a sample."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def amplitude(x: Column, factor: Column | float) -> Column:
     return F.transform(x, lambda v: v * factor)
 
@@ -45,13 +50,16 @@ def in_region(i: Column, start: Column, length: Column, n: Column) -> Column:
 
 def region(x: Column, start: Column, length: Column, change: Callable[[Column, Column], Column]) -> Column:
     """Changes a circular region of an array; change gets the value and its place."""
-    return F.transform(x, lambda v, i: F.when(in_region(i, start, length, F.size(x)), change(v, i)).otherwise(v))
+    inside = lambda r: F.transform(x, lambda v, i: F.when(in_region(i, r["start"], r["length"], r["n"]), change(v, i)).otherwise(v))
+    return bound(F.struct(start.alias("start"), length.alias("length"), F.size(x).alias("n")), inside)
 
 
-def drawn_region(x: Column, key: str, low: float, high: float, seed: int) -> tuple[Column, Column]:
-    """start, length: a uniform start, and a share of the element that is log-uniform between low and high."""
-    n = F.size(x)
-    length = F.floor(log_uniform(uniform(seed, F.col(key), F.lit("length")), low, high) * n)
+def drawn_region(x: Column, key: str, low: float, high: float, seed: int, log_sample: bool = True) -> tuple[Column, Column]:
+    """start, length: a uniform start, and a share of the element that is log-uniform between low and high; without log_sample, a length
+    that is uniform between those of the two shares."""
+    n, u = F.size(x), uniform(seed, F.col(key), F.lit("length"))
+    least, most = (F.floor(f * n) for f in (low, high))
+    length = F.floor(log_uniform(u, low, high) * n) if log_sample else F.floor(least + u * (most - least))
     return drawn_start(x, key, "start", seed), length.cast("int")
 
 
@@ -60,13 +68,14 @@ def drawn_start(x: Column, key: str, name: str, seed: int) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    """Of the samples that aren't null; null if there are none."""
+    return bound(F.filter(x, F.isnotnull), lambda y: F.try_divide(F.aggregate(y, F.lit(0.0), lambda s, v: s + v), F.size(y)))
 
 
 def erase(x: Column, start: Column, length: Column, key: str | None = None, seed: int = 0) -> Column:
     """A region set to the mean of the whole, with faint noise if a key is given."""
     noise = (lambda i: FAINT * normal(seed, F.col(key), i)) if key else (lambda i: F.lit(0.0))
-    return region(x, start, length, lambda v, i: mean(x) + noise(i))
+    return bound(mean(x), lambda m: region(x, start, length, lambda v, i: m + noise(i)))
 
 
 def sign_flip(x: Column, start: Column, length: Column) -> Column:
@@ -75,7 +84,7 @@ def sign_flip(x: Column, start: Column, length: Column) -> Column:
 
 def signal_mix(x: Column, start: Column, other: Column, length: Column) -> Column:
     """A region as the mean of itself and the region from `other`, which wraps around."""
-    return region(x, start, length, lambda v, i: (v + F.get(x, F.pmod(i + other - start, F.size(x)))) / 2)
+    return bound(other - start, lambda by: region(x, start, length, lambda v, i: (v + F.get(x, F.pmod(i + by, F.size(x)))) / 2))
 
 
 def channel_dropout(channels: list[str], key: str, fraction: float, seed: int) -> list[tuple[str, Column]]:
@@ -85,7 +94,7 @@ def channel_dropout(channels: list[str], key: str, fraction: float, seed: int) -
         raise ValueError("all channels would be dropped")
     ranks = F.array_sort(F.array(*(F.struct(uniform(seed, F.col(key), F.lit(c)).alias("u"), F.lit(c).alias("c")) for c in channels)))
     gone = F.transform(F.slice(ranks, 1, drop), lambda s: s["c"])
-    faint = lambda c: F.transform(c, lambda v, i: mean(F.col(c)) + FAINT * normal(seed, F.col(key), F.lit(c), i))
+    faint = lambda c: bound(mean(F.col(c)), lambda m: F.transform(c, lambda v, i: m + FAINT * normal(seed, F.col(key), F.lit(c), i)))
     return [(c, F.when(F.array_contains(gone, F.lit(c)), faint(c)).otherwise(F.col(c))) for c in channels]
 
 
@@ -112,10 +121,9 @@ def elastic(df: DataFrame, key: str, column: str, alpha: float, sigma: float, se
     kernel, x = smoothing(sigma), F.col(column)
     n = F.size(x)
     moves = F.transform(F.sequence(F.lit(0), n + len(kernel) - 2), lambda i: 2 * uniform(seed, F.col(key), i) - 1)
-    weighed = lambda i: sum((w * F.get(F.col("moves"), i + k) for k, w in enumerate(kernel)), F.lit(0.0))
-    place = lambda i: F.greatest(F.lit(0.0), F.least(n - 1.0, i + alpha * weighed(i)))
+    weighed = lambda m, i: sum((w * F.get(m, i + k) for k, w in enumerate(kernel)), F.lit(0.0))
+    place = lambda m, i: F.greatest(F.lit(0.0), F.least(n - 1.0, i + alpha * weighed(m, i)))
     low = lambda p: F.floor(p).cast("int")
     between_two = lambda p: F.get(x, low(p)) + (p - low(p)) * (F.get(x, F.least(n - 1, low(p) + 1)) - F.get(x, low(p)))
-    places = F.transform(x, lambda v, i: place(i))
-    out = df.withColumn("moves", F.when(n > 0, moves)).withColumn("places", F.when(n > 0, places))
-    return out.withColumn(column, F.when(n > 0, F.transform("places", between_two)).otherwise(x)).drop("moves", "places")
+    places = bound(moves, lambda m: F.transform(x, lambda v, i: place(m, i)))
+    return df.withColumn(column, F.when(n > 0, F.transform(places, between_two)).otherwise(x))

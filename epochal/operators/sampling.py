@@ -51,6 +51,21 @@ def balanced_periods(periods: DataFrame, per_class: int, seed: int = 0) -> DataF
     return turn.withColumn("nth", F.row_number().over(over)).filter(F.col("nth") <= per_class).select("study_id", "period_idx", "stage")
 
 
+def batches(periods: DataFrame, size: int, random: bool = True, balanced: bool = True, seed: int = 0) -> DataFrame:
+    """What a configuration's two settings ask for: so many periods of every class; so many uniform ones (draw, study_id, period_idx); or
+    all periods in order, as batches of that size (batch, study_id, period_idx) that go on from one study to the next. Balanced ones that
+    aren't random are an error."""
+    if balanced and not random:
+        raise ValueError("balanced batches are drawn at random, so random must be set")
+    if balanced:
+        return balanced_periods(periods, size, seed)
+    if random:
+        return random_periods(periods, size, seed).drop("n")
+    sizes = running_by_number(periods.groupBy("study_id").agg(F.count("*").alias("n")), "until", F.col("n"), "study_id")
+    place = F.col("until") - F.col("n") + F.col("period_idx")
+    return periods.join(sizes, "study_id").select(F.floor(place / size).alias("batch"), "study_id", "period_idx")
+
+
 def weighted_windows(periods: DataFrame, probabilities: DataFrame, classes: dict[int, float], draws: int, margin: int, seed: int = 0) -> DataFrame:
     """draw, dataset, class, study_id, center, offset, stage: for each draw a dataset by its probability, a class by its weight, one of
     the dataset's studies that have it, one of the study's periods of that class, all uniform and with replacement; a shift of up
