@@ -7,6 +7,8 @@ key at most once, and rows stay rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,25 +16,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_statistics(samples: DataFrame, statistics: DataFrame, key: list[str]) -> DataFrame:
+    """Samples with the statistics of their key, a null key's among them. Spark broadcasts statistics that it knows to be small, and splits
+    a hot key's samples otherwise."""
+    of = statistics.withColumnsRenamed({k: f"_{k}" for k in key})
+    same = reduce(Column.__and__, (samples[k].eqNullSafe(of[f"_{k}"]) for k in key), F.lit(True))
+    return samples.join(of, same).drop(*(f"_{k}" for k in key))
+
+
+#: Centre and width of a scaler, as aggregates of a key's values.
+SCALERS: dict[str, Callable[[str], tuple[Column, Column]]] = {
+    "standard": lambda x: (F.avg(x), F.stddev_pop(x)),
+    "minmax": lambda x: (F.min(x), F.max(x) - F.min(x)),
+    "maxabs": lambda x: (F.lit(0.0), F.max(F.abs(x))),
+    "robust": lambda x: (F.percentile(x, 0.5), F.percentile(x, 0.75) - F.percentile(x, 0.25)),
+}
+
+
 def scaled(samples: DataFrame, how: str, *key: str, value: str = "x") -> DataFrame:
-    """x scaled within its key: robust, standard, minmax, maxabs or quantile. A constant channel is centred and keeps scale 1."""
-    w, x = Window.partitionBy(*key), F.col(value)
-
-    def over(centre: Column, width: Column) -> Column:
-        return (x - centre) / F.when(width == 0, F.lit(1.0)).otherwise(width)
-
-    if how == "robust":
-        stats = samples.groupBy(*key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        return samples.join(stats, list(key)).withColumn(value, over(F.col("q")[1], F.col("q")[2] - F.col("q")[0])).drop("q")
-    if how == "standard":
-        return samples.withColumn(value, over(F.avg(value).over(w), F.stddev_pop(value).over(w)))
-    if how == "minmax":
-        return samples.withColumn(value, over(F.min(value).over(w), F.max(value).over(w) - F.min(value).over(w)))
-    if how == "maxabs":
-        return samples.withColumn(value, over(F.lit(0.0), F.max(F.abs(value)).over(w)))
+    """x scaled within its key: robust, standard, minmax, maxabs or quantile. A constant channel is centred and keeps scale 1. Statistics are
+    summed in the map tasks, so no task needs a whole key's samples; exact percentiles hold a key's distinct values as counts."""
     if how == "quantile":
-        return samples.withColumn(value, F.percent_rank().over(w.orderBy(value)))
-    raise ValueError(f"no scaler named {how}")
+        return ranked(samples, *key, value=value)
+    if how not in SCALERS:
+        raise ValueError(f"no scaler named {how}")
+    centre, width = SCALERS[how](value)
+    rows = with_statistics(samples, samples.groupBy(*key).agg(centre.alias("_centre"), width.alias("_width")), [*key])
+    over = F.when(F.col("_width") == 0, F.lit(1.0)).otherwise(F.col("_width"))
+    return rows.withColumn(value, (F.col(value) - F.col("_centre")) / over).drop("_centre", "_width")
+
+
+#: Parts of a key's values in which ranks are counted.
+RANGES = 64
+
+
+def ranked(samples: DataFrame, *key: str, value: str = "x") -> DataFrame:
+    """x as the share of its key's other samples that are below it. Equal values meet as counts in the map tasks; the counts of a key are cut
+    at its approximate percentiles and summed range by range, so a long record is no single task's. Null values come first, as in a sort."""
+    counts = samples.groupBy(*key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = samples.groupBy(*key).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(-1))
+    rows = with_statistics(counts, cuts, [*key]).withColumn("_part", part).drop("_cuts")
+    sums = rows.groupBy(*key, "_part").agg(F.sum("_n").alias("_sum"))
+    every = Window.partitionBy(*key)  # at most RANGES + 1 rows a key
+    before = F.sum("_sum").over(every.orderBy("_part")) - F.col("_sum")
+    sums = sums.select(*key, "_part", before.alias("_before"), F.sum("_sum").over(every).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy(*key, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    rows = with_statistics(rows.withColumn("_inside", inside), sums, [*key, "_part"])
+    share = F.when(F.col("_all") > 1, (F.col("_before") + F.col("_inside")) / (F.col("_all") - 1)).otherwise(F.lit(0.0))
+    shares = rows.select(*key, F.col("_v").alias(value), share.alias("_share"))
+    return with_statistics(samples, shares, [*key, value]).withColumn(value, F.col("_share")).drop("_share")
 
 
 def iqr(samples: DataFrame, *key: str, value: str = "x") -> DataFrame:
@@ -44,13 +77,13 @@ def iqr(samples: DataFrame, *key: str, value: str = "x") -> DataFrame:
 def clipped(samples: DataFrame, times: float, *key: str, value: str = "x") -> DataFrame:
     """Values beyond so many interquartile ranges of their key are set to that bound."""
     bound = F.col("iqr") * times
-    return samples.join(iqr(samples, *key, value=value), list(key)).withColumn(value, F.greatest(F.least(value, bound), -bound)).drop("iqr")
+    return with_statistics(samples, iqr(samples, *key, value=value), [*key]).withColumn(value, F.greatest(F.least(value, bound), -bound)).drop("iqr")
 
 
 def zeroed(samples: DataFrame, times: float, key: list[str], epoch: str, value: str = "x") -> DataFrame:
     """Epochs with any value beyond so many interquartile ranges become zero throughout."""
     worst = F.max(F.abs(value)).over(Window.partitionBy(*key, epoch))
-    rows = samples.join(iqr(samples, *key, value=value), key)
+    rows = with_statistics(samples, iqr(samples, *key, value=value), [*key])
     return rows.withColumn(value, F.when(worst > F.col("iqr") * times, F.lit(0.0)).otherwise(F.col(value))).drop("iqr")
 
 
