@@ -7,12 +7,13 @@ npy and npz arrays) are read as binary files and parsed file by file in tasks; f
 from __future__ import annotations
 
 import io
-import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,19 +256,31 @@ def encoded_arrays(periods: DataFrame, columns: list[str], kind: str = "npy", by
     return periods.select(by, order, *columns).groupBy(by).applyInPandas(encode, f"{by} string, content binary")
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, which is local or a URI that pyarrow knows (file, hdfs, s3, gs), and its name there."""
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+
+
 def write_arrays(periods: DataFrame, path: str, columns: list[str], kind: str = "npy") -> None:
-    """One <study_id>.npy or .npz per study below path, a folder that executors share. Files appear whole, so tasks can run again;
-    existing output is an error."""
+    """One <study_id>.npy or .npz per study below path, a folder that executors share or a URI. Files appear whole under their names, so tasks
+    can run again and beside one another; existing output is an error."""
+    system, folder = opened(path)
+    if system.get_file_info(folder).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    system.create_dir(folder, recursive=True)
 
     def write_rows(rows) -> None:
+        system, folder = opened(path)
         for row in rows:
-            name = os.path.join(path, f"{row.study_id}.{kind}")
-            part = f"{name}.{os.urandom(8).hex()}"
-            with open(part, "wb") as file:
+            name = f"{folder}/{row.study_id}.{kind}"
+            part = f"{folder}/.{row.study_id}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as file:
                 file.write(row.content)
-            os.replace(part, name)
+            if system.get_file_info(name).type == fs.FileType.NotFound:
+                system.move(part, name)
+            else:  # another attempt was faster, with the same content
+                system.delete_file(part)
 
-    os.makedirs(path)
     encoded_arrays(periods, columns, kind).foreachPartition(write_rows)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from epochal.sources.files import ANNOTATIONS
+from epochal.sources.files import ANNOTATIONS, opened
 
 PERIODS = "path string, study_id string, channel string, sample_rate double, period_idx long, samples array<float>, error string"
 HEADERS = """path string, study_id string, channel string, sample_rate double, n_samples long, unit string, prefilter string, transducer string,
@@ -99,10 +99,6 @@ class Layout:
         return stored[:, begin : begin + self.channels[at].per].ravel()
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
-
-
 def edf_layout(file: pa.NativeFile, size: int) -> Layout:
     head = file.read(256)
     text = lambda a, n: head[a : a + n].decode("latin-1").strip()

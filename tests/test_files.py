@@ -3,6 +3,8 @@
 import io
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from epochal.operators import labels
 from epochal.sources import files, tables
@@ -129,6 +131,16 @@ def test_array_sinks(spark, tmp_path):
         assert got["scores"].tolist() == [[1.0, 0.0], [0.5, 0.25]]
 
 
+def test_array_sinks_by_uri(spark, tmp_path):
+    """A URI is written as a folder is; nothing but whole files stays, and existing output is an error."""
+    rows = spark.range(40).select(F.format_string("s%d", F.col("id") % 8).alias("study_id"), (F.col("id") / 8).cast("int").alias("period_idx"), (F.col("id") % 5).cast("int").alias("stage"))
+    files.write_arrays(rows, f"file://{tmp_path}/deep/npy", ["stage"])
+    assert sorted(p.name for p in (tmp_path / "deep" / "npy").iterdir()) == [f"s{k}.npy" for k in range(8)]
+    assert np.load(tmp_path / "deep" / "npy" / "s3.npy").ravel().tolist() == [k % 5 for k in range(3, 40, 8)]
+    with pytest.raises(FileExistsError):
+        files.write_arrays(rows, f"file://{tmp_path}/deep/npy", ["stage"])
+
+
 def test_evaluation_text(spark, tmp_path):
     per = spark.createDataFrame([("a", "mean", 0.512345), ("a", "cls 0", 1.0), ("b", "mean", 0.25)], "study_id string, class string, value double")
     files.write_evaluation_text(per, str(tmp_path / "t"))
