@@ -21,13 +21,14 @@ def rate_at(log: DataFrame, epoch: int) -> DataFrame:
 
 
 def best_model(files: DataFrame) -> DataFrame:
-    """file: the best by the first metric that any file name has. files: file, named like `@epoch_7_val_dice_0.81.h5`."""
-    picks = []
+    """file: the best by the first metric that any file name has; of equally good ones that of the earliest epoch, then the first by
+    name. files: file, named like `@epoch_7_val_dice_0.81.h5`."""
+    picks, epoch = [], F.expr("try_cast(nullif(regexp_extract(file, 'epoch_([0-9]+)', 1), '') as bigint)")
     for metric, more in BEST_BY:
         score = F.expr(f"try_cast(nullif(regexp_extract(file, '(?:^|_){metric}_([0-9]+[.][0-9]+)', 1), '') as double)")
         plain = F.lit(True) if metric.startswith("val") else ~F.col("file").contains(f"val_{metric}")
         score = F.when(plain, score)
-        picks.append(F.max_by(F.when(score.isNotNull(), F.col("file")), score if more else -score))
+        picks.append(F.min(F.when(score.isNotNull(), F.struct((-score if more else score).alias("score"), epoch.alias("epoch"), "file")))["file"])
     return files.agg(F.coalesce(*picks).alias("file"))
 
 

@@ -116,6 +116,26 @@ def test_training_tables(spark):
     assert training.best_model(plain).first().file == "@epoch_4_loss_0.10.h5"
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_best_model_of_equally_good_ones(spark, backwards):
+    names = sorted(["@epoch_10_val_dice_0.90.h5", "@epoch_9_val_dice_0.90.h5", "@epoch_30_val_dice_0.90.h5", "@epoch_1_val_dice_0.20.h5"], reverse=backwards)
+    files = spark.createDataFrame([(x,) for x in names], "file string").coalesce(1)
+    assert training.best_model(files).first().file == "@epoch_9_val_dice_0.90.h5"
+    losses = files.select(F.replace("file", F.lit("dice"), F.lit("loss")).alias("file")).filter("file not like '%0.20%'")
+    assert training.best_model(losses).first().file == "@epoch_9_val_loss_0.90.h5"
+
+
+def test_top_model_with_ties(spark):
+    """sf0.1 has five models of one score; the SQL in one thread takes the first row's."""
+    from epochal.plans import catalogue
+    from tests import oracle
+
+    data = "/root/testdata/sf0.1"
+    con = oracle.connect(data)
+    con.execute("SET threads = 1")
+    oracle.check(spark, con, catalogue.QUERIES["top_model"], catalogue.SQL["top_model"], data)
+
+
 def test_network_is_local():
     net = segment.random_net(2, 5)
     x = np.random.default_rng(0).normal(size=(640, 2))
