@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row; inside a lambda of arrays it would be computed once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def base_name(path: Column) -> Column:
     """The last part of a path, without its extension."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
@@ -58,8 +65,9 @@ def taken_around(array: Column, start: Column, length: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    exps = lambda y: bound(F.array_max(y), lambda most: F.transform(y, lambda s: F.exp(s - most)))
+    shares = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total))
+    return bound(scores, lambda y: bound(exps(y), shares))
 
 
 def conv_size(n: Column, kernel: int, stride: int = 1, padding: int = 0, dilation: int = 1) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochal.functions.scalars import bound
 from epochal.operators.sampling import normal, uniform
 
 #: Fixed value: the spread of the noise that stands for what is erased or dropped.
@@ -22,11 +23,6 @@ def drawn(df: DataFrame, key: str, column: str, transform: Callable[[Column], Co
     return out.withColumn("weight", F.when(hit, F.col("weight") * weight).otherwise(F.col("weight"))) if "weight" in df.columns else out
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once a row; inside a lambda of arrays it would be computed once a sample."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def amplitude(x: Column, factor: Column | float) -> Column:
     return F.transform(x, lambda v: v * factor)
 

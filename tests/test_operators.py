@@ -125,6 +125,23 @@ def test_best_model_of_equally_good_ones(spark, backwards):
     assert training.best_model(losses).first().file == "@epoch_9_val_loss_0.90.h5"
 
 
+def test_softmax_is_linear(spark):
+    """The largest score and the sum are found once a row, not once an element: 64 times 512 elements took minutes."""
+    import time
+
+    from epochal.functions import scalars
+
+    xs = np.random.default_rng(0).normal(size=(64, 512))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], "i int, x array<double>").coalesce(1)
+    began = time.time()
+    got = np.array([r.p for r in df.orderBy("i").select(scalars.softmax(F.col("x")).alias("p")).collect()])
+    assert time.time() - began < 30
+    want = np.exp(xs - xs.max(axis=1, keepdims=True))
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True), rtol=1e-12)
+    odd = spark.createDataFrame([(None,), ([],), ([1.0],), ([0.0, None],)], "x array<double>")
+    assert [r.p for r in odd.select(scalars.softmax(F.col("x")).alias("p")).collect()] == [None, [], [1.0], [None, None]]
+
+
 def test_top_model_with_ties(spark):
     """sf0.1 has five models of one score; the SQL in one thread takes the first row's."""
     from epochal.plans import catalogue
