@@ -17,21 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.llm import bpe, langid, mixing, secrets, simhash
-from epochal.llm.common import discard, new_path, scratch, table
+from epochal.llm.common import discard, new_path, scratch, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in no language go."""
+    small_batches(spark)
     return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, the one with the smallest id."""
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live credentials are masked; no document goes."""
+    small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -44,6 +47,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and decoded_sha256: the digest of the text that the ids decode to."""
     import public_tokenizers
 
+    small_batches(spark)
     encoded = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm.common import spread, table
+from epochal.llm.common import kept, spread, table
 
 #: The word pattern of byte-level BPE (a fixed value of the format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,7 +113,7 @@ class Automaton:
                     return False
 
     def follows(self, u: int, v: int) -> bool:
-        if len(self.arcs) > 8 * REMEMBERED:
+        if len(self.arcs) > 2 * REMEMBERED:
             self.arcs.clear()
         known = self.arcs[u << 32 | v] = self.arc(u, v)
         return known
@@ -212,16 +212,9 @@ class Automaton:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_built: dict[str, Automaton] = {}
-
-
 def automaton(spec: str) -> Automaton:
     """One for each worker process."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(spec)
-    return _built[key]
+    return kept(("automaton", hashlib.sha256(spec.encode()).hexdigest()), lambda: Automaton(spec))
 
 
 def with_automaton(df: DataFrame, path: str, schema: str, row: Callable) -> DataFrame:

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.sources.shared import discard, materialize, new_path, scratch, shared_dir
 
-__all__ = ["WORD", "discard", "exploded_copies", "materialize", "new_path", "row_hash", "salted_join", "scratch", "shared_dir", "spread", "table", "unused", "utf8_size"]
+__all__ = ["WORD", "discard", "exploded_copies", "kept", "materialize", "new_path", "row_hash", "salted_join", "scratch", "shared_dir", "small_batches", "spread", "table", "unused", "utf8_size"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that go to a Python worker at once.
+BATCH = 2 << 20
+
+_kept: dict[Hashable, Any] = {}  # in a worker: what it last built
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make gives, once in a worker until another key is asked for. Workers outlive jobs, so what the stages of a pipeline build
+    would add up in them."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts go to Python workers in batches of about BATCH bytes. Spark counts up to 10,000 rows or 64 MB, which the
+    executor and the worker each hold, for what they read and for what they write."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from epochal.llm.common import spread, table, unused
+from epochal.llm.common import kept, spread, table, unused
 
 #: Bounds of the labelled sample.
 SAMPLE, PER_LANGUAGE, LANGUAGES, LONGEST, STRETCHES, STRETCH = 32_000, 500, 2_048, 20_000, 20, 24
@@ -41,7 +41,7 @@ SAMPLE, PER_LANGUAGE, LANGUAGES, LONGEST, STRETCHES, STRETCH = 32_000, 500, 2_04
 FEW, STATES = 16, 1 << 22
 FEATURES, WEIGHTS, LANE, EPOCHS, RATE, DECAY = 1 << 17, 1 << 23, 32, 3, 0.2, 1e-6
 #: Words and their characters that a worker remembers, characters of text split at once, and bytes of words hashed at once.
-REMEMBERED, KEPT, PIECE, HASHED = 400_000, 1 << 24, 1 << 20, 1 << 18
+REMEMBERED, KEPT, PIECE, HASHED = 150_000, 1 << 22, 1 << 20, 1 << 18
 #: The share below which a text is in no language.
 LEAST_SCORE = 0.35
 WORD = regex.compile(r"\p{L}+")
@@ -290,9 +290,6 @@ def trained_on(docs: DataFrame) -> Field:
     return Field.trained([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-_words: dict[int, Words] = {}  # in a worker: of the field that it last had
-
-
 def labelled(rows: DataFrame, field: Field, names: list[str]) -> DataFrame:
     """rows and two more columns, the language and the score, under these names. rows: any columns, the last of which is the text."""
     # WEIGHTS numbers at most, whatever the corpus
@@ -301,10 +298,7 @@ def labelled(rows: DataFrame, field: Field, names: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, moves = shared.value
-        if number not in _words:
-            _words.clear()
-            _words[number] = Words(weights)
-        seen = _words[number]
+        seen = kept(("words", number), lambda: Words(weights))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

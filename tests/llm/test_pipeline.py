@@ -109,6 +109,47 @@ def test_nested_columns_stay(spark, odd):
     assert rows and all(r.a == ["key", "live"] and r.st.m == {"k": 7} for r in rows)
 
 
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Of every stage that maps texts: 4,000 texts of 2 kB in one partition are several batches, not one of 8 MB."""
+    import pyarrow as pa
+    from epochal.llm.common import BATCH
+    from pyspark.sql import functions as F
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the cat "), 250).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(2000).alias("n_chars"))
+    for stage in ("language ID", "SimHash near-dedup", "secret scans", "BPE"):
+        spark.conf.unset(name)
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(20), SF)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n bigint").collect()) < 1.5 * BATCH
+
+
+def test_a_worker_keeps_one_table(spark, small):
+    """What language ID keeps in a worker goes when the tokenizer's automaton comes, and the other way round."""
+    import pyarrow as pa
+    from epochal.llm import bpe, common
+
+    def seen(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([[str(k[0]) for k in common._kept]], pa.list_(pa.string()))], ["kept"])
+
+    def held():
+        return {x for r in spark.range(0, 64, 1, 64).mapInArrow(seen, "kept array<string>").collect() for x in [tuple(r.kept)]}
+
+    field = langid.trained_on(small)
+    spec = public_tokenizers.path("byte_bpe_50k.json")
+    for _ in range(2):
+        langid.predicted(small, field).count()
+        langid.labelled(small.select("text"), field, ["a", "b"]).collect()
+        bpe.encode_and_decode(small, spec).collect()
+        found = held()
+        assert ("automaton",) in found and all(len(x) <= 1 for x in found)
+
+
 def test_two_pipelines_at_once(spark):
     """Each thread has its own scratch folder, and neither deletes the other's."""
     from concurrent.futures import ThreadPoolExecutor
